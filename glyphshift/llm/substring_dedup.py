@@ -96,7 +96,7 @@ def repeated_ranges(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     mixed = each.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor", F.lit(True).alias("mixed"))
     state = each.join(mixed, "anchor", "left").where("n > 1 or mixed").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
     state = common.written(state, "repeat-state")
-    hits = common.written(found.join(state, ["anchor", "span"]).select("row_id", "anchor", "place", "whole", "mixed"), "repeat-hits")
+    hits = common.written(found.join(state, ["anchor", "span"]).select("row_id", "anchor", "span", "place", "whole", "mixed"), "repeat-hits")
     common.dropped(spark, found)
     common.dropped(spark, state)
 
@@ -115,15 +115,20 @@ def repeated_ranges(docs: DataFrame, n: int = WINDOW) -> DataFrame:
             word = at[each] + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
             yield pa.RecordBatch.from_arrays([_rows(batch, doc[each], "row_id"), pa.array(anchor[each]), pa.array(hashed[first[doc[each]] + word].view(np.int64)), pa.array(word)], ["row_id", "anchor", "hash", "word"])
 
-    rims = hits.where("mixed").groupBy("row_id").agg(F.collect_set(F.struct("anchor", "place")).alias("spans"))
+    # All windows of a repeated span repeat; one copy of it witnesses for the others that share some of them.
+    witness = hits.where("mixed and whole").groupBy("anchor", "span").agg(F.min(F.struct("row_id", "place")).alias("one")).select("one.row_id", "anchor", "one.place")
+    rims = hits.where("mixed and not whole").select("row_id", "anchor", "place").unionByName(witness)
+    rims = rims.groupBy("row_id").agg(F.collect_set(F.struct("anchor", "place")).alias("spans"))
     windows = common.written(docs.select("row_id", "text").join(rims.hint("shuffle_hash"), "row_id").mapInArrow(second_level, "row_id long, anchor long, hash long, word long"), "repeat-windows")
-    twice = windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash")
+    # Written, so that both sides of the join are plain shuffles, which adaptive execution can split at a hot window.
+    twice = common.written(windows.groupBy("anchor", "hash").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "hash"), "repeat-twice")
     single = windows.join(twice, ["anchor", "hash"]).select("row_id", F.struct(F.col("word").alias("a"), (F.col("word") + n).alias("b")).alias("r"))
     at, count = F.expr("place div 4096"), F.col("place") % 4096
     full = hits.where("whole").select("row_id", F.struct(at.alias("a"), (at + count - 1 + n).alias("b")).alias("r"))
     ranges = common.written(full.unionByName(single).groupBy("row_id").agg(F.collect_set("r").alias("ranges")), "repeat-ranges")
     common.dropped(spark, hits)
     common.dropped(spark, windows)
+    common.dropped(spark, twice)
     return ranges
 
 
