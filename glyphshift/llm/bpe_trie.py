@@ -11,6 +11,7 @@ its last tokens.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 END = "</w>"
-CHUNKS_KEPT, PAIRS_KEPT, TRIE_WORDS = 200_000, 1_000_000, 20_000
+TAIL = 3
+CHUNKS_KEPT, PAIRS_KEPT, TRIE_WORDS = 400_000, 1_000_000, 20_000
 _STATE: dict = {}
 
 
@@ -39,11 +41,19 @@ class WordBPE:
             self.made.setdefault(a + b, n)
         #: A token is made of earlier ones, else states may depend on more than the last token.
         self.proper = all(self.made.get(a, -1) < n and self.made.get(b, -1) < n for n, (a, b) in enumerate(merges))
-        self.inner = {t for t in vocab if not t.endswith(END)}
-        self.final = {t[: -len(END)] for t in vocab if t.endswith(END)}
-        self.longest = max((len(t) for t in (*self.inner, *self.final)), default=0)
+        # Merging a token's own symbols must give it back: some entries can never be reached.
+        self.inner = {t for t in vocab if not t.endswith(END) and self._merge(list(t)) == [t]}
+        self.final = {t[: -len(END)]: t for t in vocab if t.endswith(END) and t != END and self.merged(t[: -len(END)]) == [t]}
+        self.longest = max((len(t) for t in self.final), default=0)
+        #: Lengths, longest first, of the tokens that end in the same TAIL symbols or have no more.
+        tails: dict[str, set[int]] = {}
+        for t in self.inner:
+            tails.setdefault(t[-TAIL:], set()).add(len(t))
+        for t, own in tails.items():
+            for k in range(1, len(t)):
+                own |= {n for n in tails.get(t[k:], ()) if n < TAIL}
+        self.tails = {t: sorted(own, reverse=True) for t, own in tails.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self._whole: dict[str, bool] = {}
 
     def merged(self, word: str) -> list[str]:
         """Plain merging, lowest rank first, leftmost first: the definition."""
@@ -58,15 +68,6 @@ class WordBPE:
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
         return symbols
 
-    def whole(self, token: str) -> bool:
-        """Whether merging the token's own symbols gives it back: some vocabulary
-        entries can never be reached."""
-        if (got := self._whole.get(token)) is None:
-            body = token[: -len(END)] if token.endswith(END) else token
-            symbols = [*body[:-1], body[-1] + END] if token.endswith(END) else list(body)
-            got = self._whole[token] = self._merge(symbols) == [token]
-        return got
-
     def _edge(self, token: str, side: int) -> list[tuple[str, int]]:
         """What stands at one end of a token while it is merged, with the rank of
         the merge that consumes it."""
@@ -82,57 +83,64 @@ class WordBPE:
         """Whether both stay as they are side by side: no merge across the border
         comes before those that consume its two sides (the left one first, if
         they are the same merge)."""
-        if (got := self.pairs.get((left, right))) is None:
-            got = True
-            ends = self._edge(right, 0)
-            for x, x_until in self._edge(left, 1):
-                for y, y_until in ends:
-                    r = self.rank.get((x, y))
-                    if r is not None and r < x_until and r <= y_until:
-                        got = False
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            self.pairs[left, right] = got
+        got = True
+        ends = self._edge(right, 0)
+        for x, x_until in self._edge(left, 1):
+            for y, y_until in ends:
+                r = self.rank.get((x, y))
+                if r is not None and r < x_until and r <= y_until:
+                    got = False
+        if len(self.pairs) >= PAIRS_KEPT:
+            self.pairs.clear()
+        self.pairs[left, right] = got
         return got
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[str]]:
         """Tokens of each distinct word, shared prefixes once."""
         out: dict[str, list[str]] = {}
-        inner, final, longest, follows, whole = self.inner, self.final, self.longest, self.follows, self.whole
-        path, last = "", [""]  # last[d]: last token of path[:d]
+        inner, final, longest, tails, follows, pairs = self.inner, self.final, self.longest, self.tails, self.follows, self.pairs
+        path, last = "", [""]  # last[d]: last token of path[:d], None if the vocabulary lacks a symbol of it
         for word in sorted(set(words)):
-            if not self.proper:
-                out[word] = self.merged(word)
-                continue
-            d, most = 0, min(len(path), len(word) - 1)
-            while d < most and path[d] == word[d]:
-                d += 1
-            del last[d + 1 :]
-            path = word[:-1]
-            while d < len(path) and last[d] is not None:
-                d += 1
-                found = None
-                for a in range(d - 1, max(-1, d - longest - 1), -1):
-                    token = path[a:d]
-                    if token in inner and whole(token) and (not a or follows(last[a], token)):
-                        found = token
-                        break
-                last.append(found)
-            got: list[str] | None = None
             n = len(word)
-            if last[-1] is not None and len(last) == n:
-                for a in range(n - 1, max(-1, n - longest - 1), -1):
-                    if word[a:] in final and whole(word[a:] + END) and (not a or follows(last[a], word[a:] + END)):
-                        got = [word[a:] + END]
-                        while a:
-                            got.append(last[a])
-                            a -= len(last[a])
-                        got.reverse()
-                        break
-            if got is None:  # a symbol that the vocabulary lacks
-                got = self.merged(word)
-                path, last = "", [""]
-            out[word] = got
+            got: list[str] | None = None
+            if self.proper:
+                d, most = 0, min(len(path), n - 1)
+                while d < most and path[d] == word[d]:
+                    d += 1
+                del last[d + 1 :]
+                path = word[:-1]
+                while d < n - 1:
+                    d += 1
+                    token = None
+                    tail = path[d - TAIL if d > TAIL else 0 : d]
+                    while tail not in tails and len(tail) > 1:
+                        tail = tail[1:]
+                    for size in tails.get(tail, ()):
+                        if size > d:
+                            continue
+                        a = d - size
+                        token = path[a:d]
+                        if token in inner:
+                            if not a:
+                                break
+                            left = last[a]
+                            fits = pairs.get((left, token))
+                            if (follows(left, token) if fits is None else fits) if left is not None else False:
+                                break
+                    else:
+                        token = None
+                    last.append(token)
+                for a in range(n - longest if n > longest else 0, n):
+                    if word[a:] in final:
+                        token, left = final[word[a:]], last[a]
+                        if not a or left is not None and (follows(left, token) if (fits := pairs.get((left, token))) is None else fits):
+                            got = [token]
+                            while a:
+                                got.append(last[a])
+                                a -= len(last[a])
+                            got.reverse()
+                            break
+            out[word] = self.merged(word) if got is None else got
         return out
 
 
@@ -156,43 +164,67 @@ class Codec:
         names = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
         self.token = {i: t for t, i in (model["vocab"] | self.added).items()}
-        self.chunks: dict[str, tuple[str, str, int]] = {}
+        self.chunks = common.Known(CHUNKS_KEPT)
+        byte = tok.pre_tokenizer.pre_tokenize_str
+        #: Letters whose normalized form is their lower case and that stand in one piece, with what the library makes of each.
+        letters = [c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "\xaa\xb5\xba"]
+        self.letter = {ord(c): "".join(p for p, _ in byte(self.normalize(c))) for c in letters}
+        self.plain = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.!?;:]?)")
 
     def _learn(self, chunks: list[str]) -> None:
-        known, vocab = self.chunks, self.bpe.vocab
-        for at in range(0, len(chunks), TRIE_WORDS):
-            part = {c: [w for w, _ in self.split(self.normalize(c))] for c in chunks[at : at + TRIE_WORDS]}
-            coded = self.bpe.encode_words(w for words in part.values() for w in words)
-            for c, words in part.items():
-                tokens = [t for w in words for t in coded[w] if t in vocab]
-                known[c] = (" ".join([str(vocab[t]) for t in tokens]), " ".join(tokens), len(tokens))
+        """Put what the chunks give into the cache. A chunk of letters, with or
+        without a stop, goes by way of its lower-case letters."""
+        known, plain, letter = self.chunks, self.plain.fullmatch, self.letter
+        bases: dict[str, tuple[str, str]] = {}
+        words: dict[str, list[str]] = {}
+        for c in chunks:
+            if m := plain(c):
+                bases[c] = (m[1].lower(), m[2])
+            else:
+                words[c] = [w for w, _ in self.split(self.normalize(c))]
+        for base in known.unknown({base for base, _ in bases.values()} | {stop for _, stop in bases.values() if stop}):
+            words[base] = [base.translate(letter)]
+        order = list(words)
+        for at in range(0, len(order), TRIE_WORDS):
+            part = order[at : at + TRIE_WORDS]
+            text = {w: self._written(tokens) for w, tokens in self.bpe.encode_words([w for c in part for w in words[c]]).items()}
+            for c in part:
+                known.new[c] = text[words[c][0]] if len(words[c]) == 1 else self._together([text[w] for w in words[c]])
+        for c, (base, stop) in bases.items():
+            if c != base:
+                known.new[c] = self._together([known.new[base], known.new[stop]]) if stop else known.new[base]
+
+    def _written(self, tokens: list[str]) -> tuple[str, str]:
+        tokens = [t for t in tokens if t in self.bpe.vocab]
+        return " ".join([str(self.bpe.vocab[t]) for t in tokens]), " ".join(tokens)
+
+    @staticmethod
+    def _together(parts: list[tuple[str, str]]) -> tuple[str, str]:
+        return " ".join([p[0] for p in parts if p[0]]), " ".join([p[1] for p in parts if p[0]])
 
     def encode(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """(ids in decimal joined by spaces, decoded text, number of ids): as the
         library's encode(text, add_special_tokens=False) and its
         decode(ids, skip_special_tokens=False), which joins tokens by spaces."""
-        if len(self.chunks) > CHUNKS_KEPT:
-            self.chunks.clear()
         known, cut = self.chunks, []
-        missing: dict[str, None] = {}
+        known.turn()
         for text in texts:
-            chunks: list = []
-            if self.special and "<" in text and self.special.search(text):
-                for piece in self.special.split(text):
-                    chunks += [(str(self.added[piece]), piece, 1)] if piece in self.added else piece.split(" ")
-                missing.update(dict.fromkeys(c for c in chunks if isinstance(c, str) and c not in known))
-            else:
-                chunks = text.split(" ")
-                found = list(map(known.get, chunks))
-                if None in found:
-                    missing.update(dict.fromkeys(c for c, f in zip(chunks, found) if f is None))
+            chunks: list[str] = []
+            for k, piece in enumerate(self.special.split(text) if self.special and "<" in text else [text]):
+                if k % 2:
+                    known.new[piece] = (str(self.added[piece]), piece)
+                    chunks.append(piece)
+                else:
+                    chunks += piece.split(" ")
             cut.append(chunks)
-        self._learn(list(missing))
-        out = []
+        self._learn(list(known.unknown(set().union(*cut))))
+        out, get = [], known.new.__getitem__
         for chunks in cut:
-            got = [known[c] if isinstance(c, str) else c for c in chunks]
-            got = [g for g in got if g[2]]
-            out.append((" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum(g[2] for g in got)))
+            ids, back = zip(*map(get, chunks))
+            if "" in ids:
+                ids, back = filter(None, ids), filter(None, back)
+            ids = " ".join(ids)
+            out.append((ids, " ".join(back), ids.count(" ") + 1 if ids else 0))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -203,6 +235,7 @@ class Codec:
 def codec(path: str) -> Codec:
     """The worker's codec for a file; its chunks outlive a task."""
     if path not in _STATE:
+        gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
         _STATE[path] = Codec(path)
     return _STATE[path]
 

@@ -100,6 +100,26 @@ class WordHashes(dict):
         return h
 
 
+class Known:
+    """A cache of two generations: what is asked for again outlives the turnover
+    that comes when the young one has `bound` entries."""
+
+    def __init__(self, bound: int) -> None:
+        self.bound, self.new, self.old = bound, {}, {}
+
+    def unknown(self, keys: set) -> set:
+        """The keys in neither generation; the others are in `new` from now on."""
+        rest = keys - self.new.keys()
+        again = rest & self.old.keys()
+        self.new.update(zip(again, map(self.old.__getitem__, again)))
+        return rest - again
+
+    def turn(self) -> None:
+        """Between batches only: a batch reads back what it has put in."""
+        if len(self.new) >= self.bound:
+            self.old, self.new = self.new, {}
+
+
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 

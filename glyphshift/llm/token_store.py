@@ -14,6 +14,7 @@ leaves no half-written file): `head` fields plus `bits` with the stream and
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LIMIT, BLOCK, SEGMENT_IDS, END_ID = 16, 512, 1 << 20, 0
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 500_000
+_STOPS = ",.!?;:"
 _STATE: dict = {}
 
 
@@ -117,6 +119,7 @@ def _tokenizer(path: str) -> dict:
     for each worker."""
     if path not in _STATE:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -126,7 +129,7 @@ def _tokenizer(path: str) -> dict:
         width = np.zeros(tok.get_vocab_size(with_added_tokens=True) + 1, np.int64)
         for token, i in tok.get_vocab(with_added_tokens=True).items():
             width[i] = len(token)
-        _STATE[path] = {"tok": tok, "width": width, "added": [x.content for x in tok.get_added_tokens_decoder().values()], "chunks": {}}
+        _STATE[path] = {"tok": tok, "width": width, "added": [x.content for x in tok.get_added_tokens_decoder().values()], "chunks": common.Known(CHUNKS_KEPT), "stops": {c: np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}}
     return _STATE[path]
 
 
@@ -142,45 +145,29 @@ def byte_level_ids(texts: list[str], path: str) -> list[bytes]:
     library whole."""
     state = _tokenizer(path)
     tok, width, added, known = state["tok"], state["width"], state["added"], state["chunks"]
-    cut: list[list[str] | None] = []
-    missing: dict[str, None] = {}
-    whole: list[int] = []
-    if len(known) > CHUNKS_KEPT:
-        known.clear()
-    for k, text in enumerate(texts):
-        chunks = text.split(" ")
-        found = list(map(known.get, chunks[1:]))
-        if None in found:
-            new = [c for c, f in zip(chunks[1:], found) if f is None]
-            if any(not c or c[0].isspace() or c[-1].isspace() for c in new):
-                chunks = None
-            else:
-                missing.update(dict.fromkeys(new))
-        if chunks is not None and (not chunks[0] or chunks[0][-1].isspace() or any(a in text for a in added)):
-            chunks = None
-        cut.append(chunks)
-        if chunks is None:
-            whole.append(k)
-    new = [c for c in missing if not any(a in c for a in added)]
+    known.turn()
+    cut = [t.split(" ") for t in texts]
+    missing = known.unknown(set().union(*cut))
+    odd = {c for c in missing if c.strip() != c or not c}
+    # A letter run and the stop after it are pieces of their own.
+    tailed = [c for c in missing - odd if c[-1] in _STOPS and c[:-1].isalpha()]
+    new = list(known.unknown((missing - odd).difference(tailed).union([c[:-1] for c in tailed])))
     for at in range(0, len(new), 2000):
         part = new[at : at + 2000]
-        ids = np.array(tok.encode_batch_fast(["".join(" " + c for c in part)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(tok.encode_batch_fast(["".join([" " + c for c in part])], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.cumsum([len(c.encode()) + 1 for c in part])
         cuts = np.searchsorted(np.cumsum(width[ids]), ends, side="left") + 1
         raw, a = ids.astype("<u4").tobytes(), 0
         for c, b in zip(part, (4 * cuts).tolist()):
-            known[c] = raw[a:b]
+            known.new[c] = raw[a:b]
             a = b
-    firsts = [k for k, c in enumerate(cut) if c is not None]
-    heads = dict(zip(firsts, tok.encode_batch_fast([cut[k][0] for k in firsts], add_special_tokens=False)))
-    rest = dict(zip(whole, tok.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)))
-    out = []
-    for k, chunks in enumerate(cut):
-        if chunks is None:
-            out.append(np.array(rest[k].ids, "<u4").tobytes())
-        else:
-            out.append(np.array(heads[k].ids, "<u4").tobytes() + b"".join(map(known.__getitem__, chunks[1:])))
-    return out
+    stops = state["stops"]
+    known.new.update([(c, known.new[c[:-1]] + stops[c[-1]]) for c in tailed])
+    whole = [not c[0] or c[0][-1].isspace() or any(a in t for a in added) or not odd.isdisjoint(c[1:]) for t, c in zip(texts, cut)]
+    firsts = iter(tok.encode_batch_fast([c[0] for c, w in zip(cut, whole) if not w], add_special_tokens=False))
+    rest = iter(tok.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
+    get = known.new.__getitem__
+    return [np.array(next(rest).ids, "<u4").tobytes() if w else np.array(next(firsts).ids, "<u4").tobytes() + b"".join(map(get, c[1:])) for c, w in zip(cut, whole)]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
