@@ -24,8 +24,7 @@ from . import common
 
 END = "</w>"
 TAIL = 3
-CHUNKS_KEPT, PAIRS_KEPT, TRIE_WORDS = 400_000, 1_000_000, 20_000
-_STATE: dict = {}
+CHUNKS_KEPT, PAIRS_KEPT, TRIE_WORDS = 300_000, 300_000, 20_000
 
 
 class WordBPE:
@@ -234,10 +233,12 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """The worker's codec for a file; its chunks outlive a task."""
-    if path not in _STATE:
+
+    def make() -> Codec:
         gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
-        _STATE[path] = Codec(path)
-    return _STATE[path]
+        return Codec(path)
+
+    return common.worker_state(f"bpe {path}", make)
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -79,16 +79,22 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
-def row_key(*columns: str) -> Column:
-    """64-bit id of a row from what it holds. Rows equal in all of them share
-    it, which the callers allow for."""
-    return F.xxhash64(*[F.col(c) for c in columns])
+_WORKER: dict = {}
+
+
+def worker_state(name: str, make):
+    """What an operator keeps in its Python worker from task to task. A worker
+    serves one operator after another, so only the latest one's is kept."""
+    if name not in _WORKER:
+        _WORKER.clear()
+        _WORKER[name] = make()
+    return _WORKER[name]
 
 
 class WordHashes(dict):
     """bytes of a word -> 64-bit hash, remembering a bounded number of words."""
 
-    def __init__(self, seed: int = 0, bound: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, bound: int = 300_000) -> None:
         super().__init__()
         self.seed, self.bound = seed, bound
 

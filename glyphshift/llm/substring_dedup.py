@@ -31,11 +31,10 @@ from . import common
 WINDOW = 35
 _PLACE = 28  # bits of a position inside a batch
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_STATE: dict = {}
 
 
 def _hashes() -> common.WordHashes:
-    return _STATE.setdefault("words", common.WordHashes(seed=5))
+    return common.worker_state("repeats", lambda: common.WordHashes(seed=5))
 
 
 def _line(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

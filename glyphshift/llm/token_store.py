@@ -29,7 +29,6 @@ from . import common
 LIMIT, BLOCK, SEGMENT_IDS, END_ID = 16, 512, 1 << 20, 0
 CHUNKS_KEPT = 500_000
 _STOPS = ",.!?;:"
-_STATE: dict = {}
 
 
 def code_lengths(counts: dict[int, int], limit: int = LIMIT) -> dict[int, int]:
@@ -115,9 +114,9 @@ def decode(stream: bytes, checkpoints: np.ndarray, n: int, slot_id: np.ndarray,
 
 
 def _tokenizer(path: str) -> dict:
-    """The library's tokenizer, its ids' byte lengths and the chunks known, once
-    for each worker."""
-    if path not in _STATE:
+    """The worker's tokenizer, its ids' byte lengths and the chunks known."""
+
+    def make() -> dict:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
         from tokenizers import Tokenizer
@@ -129,8 +128,10 @@ def _tokenizer(path: str) -> dict:
         width = np.zeros(tok.get_vocab_size(with_added_tokens=True) + 1, np.int64)
         for token, i in tok.get_vocab(with_added_tokens=True).items():
             width[i] = len(token)
-        _STATE[path] = {"tok": tok, "width": width, "added": [x.content for x in tok.get_added_tokens_decoder().values()], "chunks": common.Known(CHUNKS_KEPT), "stops": {c: np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}}
-    return _STATE[path]
+        stops = {c: np.array(tok.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}
+        return {"tok": tok, "width": width, "added": [x.content for x in tok.get_added_tokens_decoder().values()], "chunks": common.Known(CHUNKS_KEPT), "stops": stops}
+
+    return common.worker_state(f"token store {path}", make)
 
 
 def byte_level_ids(texts: list[str], path: str) -> list[bytes]:

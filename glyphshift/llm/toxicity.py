@@ -49,7 +49,7 @@ class Model:
 
     def score(self, text: str | None) -> float:
         known = self._words
-        if len(known) > 300_000:
+        if len(known) > 100_000:
             known.clear()
         total = self.bias
         for w in set(_WORD.findall((text or "").lower())):
@@ -93,7 +93,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     shrink = np.full(len(w), decay)
     shrink[-1] = 0
     for t in range(1, steps + 1):
-        gp, gu = xp @ w, xu @ w
+        narrow = w.astype(np.float32)
+        gp, gu = xp @ narrow, xu @ narrow
         negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
         up = xu.T @ sigmoid(gu) / n_u - prior * (xp.T @ sigmoid(gp)) / n_p  # of the risk on negatives
         grad = -prior * (xp.T @ sigmoid(-gp)) / n_p + up if negative >= 0 else -up
