@@ -1 +1,167 @@
-"""Queries."""
+"""Queries of accounting and analysis."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit as A
+from .registry import query, table
+
+
+@query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN 'exact' ELSE 'candidates' END AS status, string_agg(DISTINCT lang, '|' ORDER BY lang) AS targets, count(DISTINCT doc_id) AS n_refs FROM documents GROUP BY source")
+def a1_claim_index(spark, sf_dir):
+    """A1 A2 A20."""
+    return A.claims(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
+
+
+@query("SELECT s_nationkey AS nation, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS s_name, count(DISTINCT s_suppkey % 2) > 1 AS conflict FROM supplier GROUP BY s_nationkey")
+def a2_fact_merge(spark, sf_dir):
+    """A2 D1."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name", (F.col("s_suppkey") % 2).alias("basis"))
+    return A.merged_facts(s, "nation", ["s_name"], "basis")
+
+
+@query("SELECT source, count(*) AS discovered, count(*) FILTER (toxic = 0 AND quality = 1) AS admitted, count(*) FILTER (toxic = 1) AS excluded, count(*) FILTER (toxic = 0 AND quality = 0) AS ambiguous, count(*) FILTER (toxic IS NULL) AS unclassified FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def a4_coverage(spark, sf_dir):
+    """Every record gets one disposition."""
+    j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    t, q = F.col("toxic"), F.col("quality")
+    return j.groupBy("source").agg(F.count("*").alias("discovered"), F.count_if((t == 0) & (q == 1)).alias("admitted"), F.count_if(t == 1).alias("excluded"), F.count_if((t == 0) & (q == 0)).alias("ambiguous"), F.count_if(t.isNull()).alias("unclassified"))
+
+
+@query("SELECT CAST(doc_id AS BIGINT) AS doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
+def e2_ledger_difference(spark, sf_dir):
+    """A5 E2 E6."""
+    return A.both_ways(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT CAST(grouping(lang, source) AS INTEGER) AS level, lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
+def a6_summaries(spark, sf_dir):
+    """Several summaries in one pass."""
+    table(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
+    return spark.sql("SELECT CAST(grouping_id(lang, source) AS INT) AS level, lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM _documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
+
+
+@query("SELECT p_brand AS loading, p_type AS kind, CAST(sum(p_size) AS BIGINT) AS bytes, count(*) AS sections FROM (SELECT DISTINCT p_partkey, p_brand, p_type, p_size FROM part JOIN lineitem ON l_partkey = p_partkey) GROUP BY ROLLUP (p_brand, p_type)")
+def a17_payload(spark, sf_dir):
+    """Each section once, then a rollup."""
+    p = table(spark, sf_dir, "part").join(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi")
+    return p.rollup(F.col("p_brand").alias("loading"), F.col("p_type").alias("kind")).agg(F.sum("p_size").cast("long").alias("bytes"), F.count("*").alias("sections"))
+
+
+@query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS pass, count(*) FILTER (user_id % 3 = 1) AS fail, count(*) FILTER (user_id % 3 = 2) AS disabled FROM events GROUP BY event_type")
+def a7_parity_counts(spark, sf_dir):
+    """Statuses as columns."""
+    e = table(spark, sf_dir, "events").withColumn("status", F.element_at(F.array(F.lit("pass"), F.lit("fail"), F.lit("disabled")), (F.col("user_id") % 3 + 1).cast("int")))
+    return e.groupBy("event_type").pivot("status", ["pass", "fail", "disabled"]).count().na.fill(0)
+
+
+@query("SELECT atom, n, CAST(row_number() OVER (ORDER BY n DESC, atom) AS INTEGER) AS id FROM (SELECT atom, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS atom FROM documents) WHERE atom <> '' GROUP BY atom)")
+def a8_atom_statistics(spark, sf_dir):
+    """Frequency-ordered ids."""
+    n = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("atom")).where("atom <> ''").groupBy("atom").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    return n.withColumn("id", F.row_number().over(Window.orderBy(F.col("n").desc(), "atom")))
+
+
+@query("SELECT lower(word) AS folded, count(*) AS n, count(DISTINCT word) AS spellings FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1 HAVING count(DISTINCT word) > 1")
+def a9_equivalent_spellings(spark, sf_dir):
+    """Groups that present alike."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word"))
+    return w.groupBy(F.lower("word").alias("folded")).agg(F.count("*").alias("n"), F.count_distinct("word").alias("spellings")).where("spellings > 1")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS median, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def a18_percentiles(spark, sf_dir):
+    """Nearest rank."""
+    return table(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("event_type").agg(A.nearest_rank("value", 0.5).alias("median"), A.nearest_rank("value", 0.95).alias("p95"))
+
+
+@query("SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events")
+def w11_deltas(spark, sf_dir):
+    """W11 W6."""
+    return A.deltas(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", "event_id")
+
+
+@query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 1), k AS (SELECT source FROM a UNION SELECT source FROM b)
+SELECT source, coalesce((SELECT string_agg(lang, '|' ORDER BY lang) FROM b WHERE b.source = k.source AND (b.source, b.lang) NOT IN (SELECT source, lang FROM a)), '') AS added, coalesce((SELECT string_agg(lang, '|' ORDER BY lang) FROM a WHERE a.source = k.source AND (a.source, a.lang) NOT IN (SELECT source, lang FROM b)), '') AS absent FROM k""")
+def e1_period_difference(spark, sf_dir):
+    """Members that came and went between two states."""
+    d = table(spark, sf_dir, "documents")
+    return A.set_difference(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "source", "lang")
+
+
+@query("""WITH a AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), b AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
+SELECT s, m, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN a.n IS NULL THEN 'right_only' WHEN b.n IS NULL THEN 'left_only' WHEN a.n = b.n THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b USING (s, m)""")
+def j17_reconciliation(spark, sf_dir):
+    """J17 C43 C44."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_linestatus").alias("m"), "l_linenumber")  # noqa: E741
+    return A.reconciled(l.where("l_linenumber = 1"), l.where("l_linenumber = 2"), ["s", "m"])
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN count(l_orderkey) = 0 THEN 'unbound' WHEN count(l_orderkey) = 1 THEN 'unique' ELSE 'homograph' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 GROUP BY o_orderkey")
+def j9_authority_join(spark, sf_dir):
+    """How many authorities a record binds to."""
+    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("id"), F.lit(1).alias("one"))  # noqa: E741
+    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(l, "id", "left").groupBy("id").agg(F.count("one").alias("n"))
+    return g.select("id", F.when(F.col("n") == 0, "unbound").when(F.col("n") == 1, "unique").otherwise("homograph").alias("status"))
+
+
+@query("SELECT r_name AS rule, count(DISTINCT n_nationkey) AS facts, count(DISTINCT s_suppkey) AS sources, count(l_orderkey) AS uses FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY r_name")
+def j18_evidence_chain(spark, sf_dir):
+    """Rule, program, fact, source."""
+    t = lambda n: table(spark, sf_dir, n)
+    j = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(t("supplier"), "s_suppkey").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.groupBy(F.col("r_name").alias("rule")).agg(F.count_distinct("n_nationkey").alias("facts"), F.count_distinct("s_suppkey").alias("sources"), F.count("l_orderkey").alias("uses"))
+
+
+@query("SELECT certainty, count(*) AS n FROM (SELECT CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'unresolved' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'conditional' WHEN count(*) > 0 THEN 'unique' ELSE 'literal' END AS certainty FROM lineitem GROUP BY l_orderkey) GROUP BY certainty")
+def c31_certainty(spark, sf_dir):
+    """C31 A14."""
+    f = lambda x: F.count_if(F.col("l_returnflag") == x)
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(A.certainty(F.count("*"), f("R"), f("A")).alias("certainty"))
+    return g.groupBy("certainty").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, event AS rule FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['r1', 'r2'] ELSE ['r2', 'r3'] END) AS event FROM documents) WHERE event = 'r3'")
+def c41_ledger_by_rule(spark, sf_dir):
+    """Ledger entries that a rule took part in."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("r1"), F.lit("r2"))).otherwise(F.array(F.lit("r2"), F.lit("r3"))).alias("rules"))
+    return d.where(F.array_contains("rules", "r3")).select("doc_id", F.lit("r3").alias("rule"))
+
+
+@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS digest FROM documents")
+def k2_canonical_digest(spark, sf_dir):
+    """Digest of canonical JSON, keys sorted."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")).cast("binary"), 256).alias("digest"))
+
+
+@query("WITH s AS (SELECT DISTINCT source FROM documents), i AS (SELECT source, CAST(dense_rank() OVER (ORDER BY source) AS INTEGER) AS id FROM s) SELECT doc_id, id AS source_id, source FROM documents JOIN i USING (source)")
+def k6_compact_roundtrip(spark, sf_dir):
+    """Interned, and inflated again."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    ids = d.select("source").distinct().withColumn("source_id", F.dense_rank().over(Window.orderBy("source")))
+    compact = d.join(ids, "source").select("doc_id", "source_id")
+    return compact.join(ids, "source_id").select("doc_id", "source_id", "source")
+
+
+@query("SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + 3 AS INTEGER) AS \"end\" FROM (SELECT doc_id, unnest(generate_series(0, 2)) * 5 AS start, length(text) AS n FROM documents) WHERE start + 3 <= n")
+def c33_span_plan(spark, sf_dir):
+    """Explicit, ordered spans that stay inside their text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.array(F.lit(0), F.lit(5), F.lit(10))).alias("start"))
+    return d.where("start + 3 <= n").select("doc_id", "start", (F.col("start") + 3).alias("end"))
+
+
+@query("SELECT doc_id, rn AS place, item FROM (SELECT l_orderkey AS doc_id, l_partkey AS item, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) AS rn FROM lineitem) WHERE rn BETWEEN 3 AND 4")
+def w12_evidence_pages(spark, sf_dir):
+    """The second page of two."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), at.alias("place"), F.col("l_partkey").alias("item")).where("place between 3 and 4")
+
+
