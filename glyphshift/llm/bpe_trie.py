@@ -148,7 +148,7 @@ class Codec:
     encoding of words is WordBPE's. Chunks between spaces are remembered: no
     normalization, split or merge reaches over a space."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, chunks_kept: int = CHUNKS_KEPT) -> None:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -163,7 +163,7 @@ class Codec:
         names = sorted(map(re.escape, self.added), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(names) + ")") if names else None
         self.token = {i: t for t, i in (model["vocab"] | self.added).items()}
-        self.chunks = common.Known(CHUNKS_KEPT)
+        self.chunks = common.Known(chunks_kept)
         byte = tok.pre_tokenizer.pre_tokenize_str
         #: Letters whose normalized form is their lower case and that stand in one piece, with what the library makes of each.
         letters = [c for c in map(chr, range(0x41, 0x100)) if c.isalpha() and c not in "\xaa\xb5\xba"]
@@ -231,26 +231,27 @@ class Codec:
         return " ".join(self.token[i] for i in ids if i in self.token)
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, chunks_kept: int = CHUNKS_KEPT) -> Codec:
     """The worker's codec for a file; its chunks outlive a task."""
 
     def make() -> Codec:
         gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
-        return Codec(path)
+        return Codec(path, chunks_kept)
 
-    return common.worker_state(f"bpe {path}", make)
+    return common.worker_state(f"bpe {path} {chunks_kept}", make)
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, text: str = "text", chunks_kept: int = CHUNKS_KEPT) -> DataFrame:
     """docs without the text, plus n_tokens long, token_ids (decimal ids joined
     by one space) and decoded (the text that those ids decode to).
 
-    Null is as empty: no ids and an empty text."""
+    Null is as empty: no ids and an empty text. chunks_kept bounds a worker's
+    memory (two generations of about 300 bytes each), not what is encoded."""
     common.prepare(docs.sparkSession)
     kept = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        coder = codec(path, chunks_kept)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
             ids, back, n = zip(*coder.encode(texts)) if texts else ((), (), ())
