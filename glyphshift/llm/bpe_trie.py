@@ -11,7 +11,6 @@ its last tokens.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -233,12 +232,7 @@ class Codec:
 
 def codec(path: str, chunks_kept: int = CHUNKS_KEPT) -> Codec:
     """The worker's codec for a file; its chunks outlive a task."""
-
-    def make() -> Codec:
-        gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
-        return Codec(path, chunks_kept)
-
-    return common.worker_state(f"bpe {path} {chunks_kept}", make)
+    return common.worker_state(f"bpe {path} {chunks_kept}", lambda: Codec(path, chunks_kept))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", chunks_kept: int = CHUNKS_KEPT) -> DataFrame:
@@ -254,7 +248,8 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunks_kept: int = C
         coder = codec(path, chunks_kept)
         for batch in batches:
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            ids, back, n = zip(*coder.encode(texts)) if texts else ((), (), ())
+            with common.uncollected():
+                ids, back, n = zip(*coder.encode(texts)) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*kept, "n_tokens", "token_ids", "decoded"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)

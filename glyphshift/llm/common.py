@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,20 @@ def binary(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+@contextmanager
+def uncollected():
+    """No garbage collection meanwhile: where a large cache is filled, it would
+    walk all of it again and again. Afterwards it is as before, for a worker goes
+    on to other tasks, which do leave cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 _WORKER: dict = {}
 
 

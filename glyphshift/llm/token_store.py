@@ -14,7 +14,6 @@ leaves no half-written file): `head` fields plus `bits` with the stream and
 
 from __future__ import annotations
 
-import gc
 import os
 import zlib
 from collections.abc import Iterator
@@ -118,7 +117,6 @@ def _tokenizer(path: str) -> dict:
 
     def make() -> dict:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # it would walk the whole cache again and again, and nothing here makes cycles
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -188,7 +186,9 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             part = batch.column("part")[0].as_py() if part is None else part
-            for d, ids in zip(batch.column("doc_id").to_pylist(), byte_level_ids(texts, path)):
+            with common.uncollected():
+                coded = byte_level_ids(texts, path)
+            for d, ids in zip(batch.column("doc_id").to_pylist(), coded):
                 doc_ids.append(d)
                 sizes.append(len(ids) // 4 + 1)
                 held += [ids, end]
