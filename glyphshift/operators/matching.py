@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WINDOW = 256  # characters that are looked at together; a substring of a short text is cheap
+WINDOW = 64  # characters that are looked at together; a substring of a short text is cheap
 LIMIT = 24  # items of a component beyond which it stays unresolved
 
 
@@ -22,9 +22,12 @@ def substring_matches(docs: DataFrame, keys: DataFrame, key: str = "key", text:
     told = keys.where(F.length(key) > 0).agg(F.array_sort(F.collect_set(F.length(key))), F.array_sort(F.collect_set(F.substring(key, 1, 1)))).first()
     lengths, firsts = told[0] or [1], told[1] or []
     text_at = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).where(F.length("_t") > 0)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if text_at.rdd.getNumPartitions() < cores:  # a small table in few files would keep most cores idle
+        text_at = text_at.repartition(cores)
     piece = F.explode(F.sequence(F.lit(0), F.floor((F.length("_t") - 1) / WINDOW).cast("int")))
     cut = text_at.select("doc_id", "_t", piece.alias("_w")).select("doc_id", (F.col("_w") * WINDOW).alias("_at"), F.substring("_t", F.col("_w") * WINDOW + 1, F.lit(WINDOW + max(lengths) - 1)).alias("_p"))
-    places = F.filter(F.sequence(F.lit(1), F.least(F.lit(WINDOW), F.length("_p"))), lambda i: F.substring(F.col("_p"), i, F.lit(1)).isin(firsts))
+    places = F.array_compact(F.transform(F.split("_p", "", WINDOW + 1), lambda x, i: F.when(F.substring(x, 1, 1).isin(firsts) & (i < WINDOW), i + 1)))
     each = cut.select("doc_id", "_at", "_p", F.explode(places).alias("_i"))
     spans = each.select("doc_id", (F.col("_at") + F.col("_i") - 1).alias("start"), F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring(F.col("_p"), F.col("_i"), F.lit(n)).alias("key")) for n in lengths])).alias("s"))
     spans = spans.where(F.length("s.key") == F.col("s.n")).select("doc_id", "start", (F.col("start") + F.col("s.n")).alias("end"), F.col("s.key").alias(key))
