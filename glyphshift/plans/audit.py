@@ -165,3 +165,23 @@ def w12_evidence_pages(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), at.alias("place"), F.col("l_partkey").alias("item")).where("place between 3 and 4")
 
 
+
+
+@query("WITH g AS (SELECT p_brand AS brand, p_type AS type, count(DISTINCT p_size) AS n FROM part GROUP BY ALL) SELECT brand, count(*) FILTER (n = 1) AS one, count(*) FILTER (n > 1) AS many FROM g GROUP BY brand")
+def a15_reading_inventory(spark, sf_dir):
+    """Surfaces with one reading or several."""
+    g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), "p_type").agg(F.count_distinct("p_size").alias("n"))
+    return g.groupBy("brand").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
+
+
+@query("""WITH old AS (SELECT source AS atom, CAST(row_number() OVER (ORDER BY source) AS BIGINT) AS id FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 0)),
+now AS (SELECT DISTINCT source AS atom FROM documents WHERE doc_id % 5 = 0),
+fresh AS (SELECT atom, (SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY atom) AS id, 'live' AS state FROM now WHERE atom NOT IN (SELECT atom FROM old))
+SELECT atom, id, CASE WHEN atom IN (SELECT atom FROM now) THEN 'live' ELSE 'retired' END AS state FROM old UNION ALL SELECT atom, id, state FROM fresh""")
+def c46_symbol_registry(spark, sf_dir):
+    """Ids are never given anew; symbols out of use are retired."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("atom"))
+    old = d.where("doc_id % 97 = 0").select("atom").distinct().withColumn("id", F.row_number().over(Window.orderBy("atom")).cast("long"))
+    return A.updated_registry(old, d.where("doc_id % 5 = 0").select("atom").distinct())

@@ -100,3 +100,14 @@ def e3_conflicting_outputs(spark, sf_dir):
     """Spans with several outputs; candidate only if all are."""
     m = _matches(spark, sf_dir)[1].groupBy("doc_id", "start", "end", "output").agg(F.bool_and("candidate").alias("candidate"))
     return m.groupBy("doc_id", "start", "end").agg(F.array_join(F.array_sort(F.collect_set("output")), "|").alias("outputs"), F.bool_and("candidate").alias("candidate"), F.count("*").alias("n")).where("n > 1").select("doc_id", "start", "outputs", "candidate")
+
+
+@query("WITH rules(key) AS (VALUES ('the'), ('of'), ('tion')) SELECT key, CAST(sum((length(text) - length(replace(text, key, ''))) // length(key)) AS BIGINT) AS by_join, CAST(sum((length(text) - length(replace(text, key, ''))) // length(key)) AS BIGINT) AS by_scan FROM documents, rules GROUP BY key")
+def j6_access_path_parity(spark, sf_dir):
+    """The n-gram join and a scan for each rule find the same."""
+    docs = table(spark, sf_dir, "documents")
+    keys = ("the", "of", "tion")
+    joined = M.substring_matches(docs, values(spark, ", ".join(f"('{k}')" for k in keys), "key")).groupBy("key").agg(F.count("*").alias("by_join"))
+    hits = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"(length(text) - length(replace(text, '{k}', ''))) div {len(k)}").alias("n")) for k in keys]))
+    scanned = docs.select(hits.alias("h")).groupBy(F.col("h.key").alias("key")).agg(F.sum("h.n").alias("by_scan"))
+    return joined.join(scanned, "key")

@@ -101,3 +101,25 @@ def f17_page_markers(spark, sf_dir):
     own = p.where("page_id % 10 = 0").select("url", F.lit("＋").alias("own"))
     hosts = values(spark, "('blog.tionsh.example.net','＊'), ('blog.ththan.example.net','＊')", "host, theirs")
     return p.join(own, "url", "left").join(F.broadcast(hosts), "host", "left").select("page_id", F.coalesce("own", "theirs", F.lit("｜")).alias("marker"))
+
+
+@query("SELECT r_regionkey, src, alternatives FROM (VALUES ('に[依,因]る','に依る|に因る'), ('a[b[c,d],e]','abc|abd|ae'), ('plain','plain')) t(src, alternatives), region")
+def f9_bracket_alternatives(spark, sf_dir):
+    """Nesting needs an Arrow UDF."""
+    from ..sources import readers
+
+    w = values(spark, "('に[依,因]る'), ('a[b[c,d],e]'), ('plain')", "src").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
+    return w.select("r_regionkey", "src", F.array_join(F.array_sort(readers.bracket_alternatives_udf("src")), "|").alias("alternatives"))
+
+
+@query("SELECT r_regionkey, example, forms FROM (VALUES ('揚（上）がる','上'), ('代（替・換）える','替・換'), ('なし','')) t(example, forms), region")
+def f38_bracketed_forms(spark, sf_dir):
+    """Forms that an example gives in brackets."""
+    w = values(spark, "('揚（上）がる'), ('代（替・換）える'), ('なし')", "example").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
+    return w.select("r_regionkey", "example", F.array_join(F.regexp_extract_all("example", F.lit("（([^）]+)）"), F.lit(1)), "|").alias("forms"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([a-z]+)(ing|ed|ly)([ .,]|$)', '\1-\2\3', 'g')) AS marked FROM documents")
+def c3_ending_rules(spark, sf_dir):
+    """Pattern rules on inflected endings, over the text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace("text", "([a-z]+)(ing|ed|ly)([ .,]|$)", "$1-$2$3").cast("binary")).alias("marked"))
