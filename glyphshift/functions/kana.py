@@ -93,3 +93,18 @@ def render_span(c: Column) -> Column:
 def expand_span(c: Column) -> Column:
     stem = F.regexp_extract(c, "^(.*)〳〵$", 1)
     return F.when(stem != "", F.concat(stem, stem)).otherwise(c)
+
+
+def abbreviated_long_vowels(c: Column, excluded: tuple[str, ...] = (), shortest: int = 1) -> Column:
+    """Katakana words without the long vowel mark at their end, or before a vowel
+    kana that starts the next part. Parts that are excluded, or shorter than
+    `shortest` with the mark, keep it and run on into what follows."""
+    pieces = F.split(c, "(?<=ー)(?=[アイウエオ])|(?<=ー)(?![ァ-ヺー])")
+
+    def step(s: Column, p: Column) -> Column:
+        run = F.regexp_extract(F.concat(s["open"], p), "[ァ-ヺー]+$", 0)
+        drop = run.rlike("[ァ-ヺー]ー$") & (F.length(run) >= shortest) & ~run.isin(*excluded, "")
+        kept = F.when(drop, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
+        return F.struct(F.concat(s["out"], kept).alias("out"), F.when(drop, F.lit("")).otherwise(run).alias("open"))
+
+    return F.aggregate(pieces, F.struct(F.lit("").alias("out"), F.lit("").alias("open")), step)["out"]

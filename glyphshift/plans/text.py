@@ -123,3 +123,10 @@ def f38_bracketed_forms(spark, sf_dir):
 def c3_ending_rules(spark, sf_dir):
     """Pattern rules on inflected endings, over the text."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace("text", "([a-z]+)(ing|ed|ly)([ .,]|$)", "$1-$2$3").cast("binary")).alias("marked"))
+
+
+@query("SELECT r_regionkey, src, short FROM (VALUES ('コンピューター','コンピュータ'), ('サーバーエラー','サーバエラ'), ('バターの味','バターの味'), ('キーを押す','キーを押す'), ('データベース','データベース'), ('ユーザーとメーカー。','ユーザとメーカ。')) t(src, short), region")
+def f30_long_vowel_abbreviation(spark, sf_dir):
+    """F30 P19."""
+    w = values(spark, "('コンピューター'), ('サーバーエラー'), ('バターの味'), ('キーを押す'), ('データベース'), ('ユーザーとメーカー。')", "src").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
+    return w.select("r_regionkey", "src", kana.abbreviated_long_vowels(F.col("src"), ("バター",), 3).alias("short"))
