@@ -33,4 +33,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
-from . import audit, lexicon, rewriting, rules, text, tokens  # noqa: E402, F401
+from . import audit, graphs, lexicon, rewriting, rules, text, tokens  # noqa: E402, F401
