@@ -84,12 +84,12 @@ def w11_deltas(spark, sf_dir):
     return A.deltas(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", "event_id")
 
 
-@query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 0), b AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 2 = 1), k AS (SELECT source FROM a UNION SELECT source FROM b)
+@query("""WITH a AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars < 500), b AS (SELECT DISTINCT source, lang FROM documents WHERE n_chars >= 500), k AS (SELECT source FROM a UNION SELECT source FROM b)
 SELECT source, coalesce((SELECT string_agg(lang, '|' ORDER BY lang) FROM b WHERE b.source = k.source AND (b.source, b.lang) NOT IN (SELECT source, lang FROM a)), '') AS added, coalesce((SELECT string_agg(lang, '|' ORDER BY lang) FROM a WHERE a.source = k.source AND (a.source, a.lang) NOT IN (SELECT source, lang FROM b)), '') AS absent FROM k""")
 def e1_period_difference(spark, sf_dir):
     """Members that came and went between two states."""
     d = table(spark, sf_dir, "documents")
-    return A.set_difference(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), "source", "lang")
+    return A.set_difference(d.where("n_chars < 500"), d.where("n_chars >= 500"), "source", "lang")
 
 
 @query("""WITH a AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), b AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
@@ -174,14 +174,15 @@ def a15_reading_inventory(spark, sf_dir):
     return g.groupBy("brand").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
 
 
-@query("""WITH old AS (SELECT source AS atom, CAST(row_number() OVER (ORDER BY source) AS BIGINT) AS id FROM (SELECT DISTINCT source FROM documents WHERE doc_id % 97 = 0)),
-now AS (SELECT DISTINCT source AS atom FROM documents WHERE doc_id % 5 = 0),
+@query("""WITH old AS (SELECT atom, CAST(row_number() OVER (ORDER BY atom) AS BIGINT) AS id FROM (SELECT DISTINCT unnest(string_split(text, '')) AS atom FROM benchmark) WHERE atom <> ''),
+now AS (SELECT DISTINCT atom FROM (SELECT unnest(string_split(text, '')) AS atom FROM documents) WHERE atom <> ''),
 fresh AS (SELECT atom, (SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY atom) AS id, 'live' AS state FROM now WHERE atom NOT IN (SELECT atom FROM old))
 SELECT atom, id, CASE WHEN atom IN (SELECT atom FROM now) THEN 'live' ELSE 'retired' END AS state FROM old UNION ALL SELECT atom, id, state FROM fresh""")
 def c46_symbol_registry(spark, sf_dir):
-    """Ids are never given anew; symbols out of use are retired."""
+    """Ids are never given anew; symbols out of use are retired.
+    The registry held the characters of benchmark; documents brings those in use."""
     from pyspark.sql import Window
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("atom"))
-    old = d.where("doc_id % 97 = 0").select("atom").distinct().withColumn("id", F.row_number().over(Window.orderBy("atom")).cast("long"))
-    return A.updated_registry(old, d.where("doc_id % 5 = 0").select("atom").distinct())
+    atoms = lambda name: table(spark, sf_dir, name).select(F.explode(F.split("text", "")).alias("atom")).where("atom <> ''").distinct()
+    old = atoms("benchmark").withColumn("id", F.row_number().over(Window.orderBy("atom")).cast("long"))
+    return A.updated_registry(old, atoms("documents"))

@@ -94,11 +94,11 @@ def f25_deterministic_pick(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "source", (strings.fnv1a(F.col("source")) % 7).alias("pick"))
 
 
-@query("SELECT page_id, coalesce(u.marker, d.marker, '｜') AS marker FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages) p LEFT JOIN (SELECT url, '＋' AS marker FROM pages WHERE page_id % 10 = 0) u ON u.url = p.url LEFT JOIN (SELECT host, '＊' AS marker FROM (VALUES ('blog.tionsh.example.net'), ('blog.ththan.example.net')) t(host)) d ON d.host = p.host")
+@query("SELECT page_id, coalesce(u.marker, d.marker, '｜') AS marker FROM (SELECT page_id, url, regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages) p LEFT JOIN (SELECT url, '＋' AS marker FROM pages WHERE length(url) > 40) u ON u.url = p.url LEFT JOIN (SELECT host, '＊' AS marker FROM (VALUES ('blog.tionsh.example.net'), ('blog.ththan.example.net')) t(host)) d ON d.host = p.host")
 def f17_page_markers(spark, sf_dir):
     """marker by url, else by host, else the default."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
-    own = p.where("page_id % 10 = 0").select("url", F.lit("＋").alias("own"))
+    own = p.where("length(url) > 40").select("url", F.lit("＋").alias("own"))
     hosts = values(spark, "('blog.tionsh.example.net','＊'), ('blog.ththan.example.net','＊')", "host, theirs")
     return p.join(own, "url", "left").join(F.broadcast(hosts), "host", "left").select("page_id", F.coalesce("own", "theirs", F.lit("｜")).alias("marker"))
 
