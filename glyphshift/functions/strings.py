@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,3 +163,60 @@ def basic_form_tail(surface: Column, base: Column, target: Column) -> Column:
     rest = F.substring(base, n + 1, F.length(base))
     stem = F.substring(target, F.lit(1), F.length(target) - F.length(rest))
     return F.when((n > 0) & target.endswith(rest), F.concat(stem, F.substring(surface, n + 1, F.length(surface)))).otherwise(surface)
+
+
+_MARK = re.compile(r"\$(?:(?P<sign>[$&`'])|<(?P<name>[A-Za-z]\w*)>|(?P<number>\d\d?))")
+
+
+def template_parts(template: str, groups: int, names: tuple[str, ...] = ()) -> list[tuple[str, object]]:
+    """Pieces of a replacement template: ("text", str), ("group", number or name)
+    and ("before" | "after", None) for what surrounds the match. A two-digit
+    number that no group has is a one-digit one with a digit after it; a number
+    without a group stays as it's written, an unknown name gives nothing."""
+    parts, at = [], 0
+    for m in _MARK.finditer(template):
+        parts.append(("text", template[at : m.start()]))
+        at = m.end()
+        if m["sign"]:
+            parts.append({"$": ("text", "$"), "&": ("group", 0), "`": ("before", None), "'": ("after", None)}[m["sign"]])
+        elif m["name"]:
+            parts.append(("group", m["name"]) if m["name"] in names else ("text", ""))
+        else:
+            digits = next((d for d in (m["number"], m["number"][0]) if 0 < int(d) <= groups), None)
+            parts += [("group", int(digits)), ("text", m["number"][len(digits) :])] if digits else [("text", m[0])]
+    return [p for p in [*parts, ("text", template[at:])] if p[1] != ""]
+
+
+def expand_template(text: Column, pattern: str, template: str) -> Column:
+    """text with every match of pattern replaced by the template. JVM-side, but
+    for templates that quote what surrounds the match, which Spark's own
+    replacement can't: those go through Arrow batches. The pattern is to mean
+    the same to Java and Python; names are written (?<name>...)."""
+    own = re.compile(re.sub(r"\(\?<(?![=!])", "(?P<", pattern))
+    parts = template_parts(template, own.groups, tuple(own.groupindex))
+    if not any(kind in ("before", "after") for kind, _ in parts):
+        java = "".join(f"${{{x}}}" if isinstance(x, str) and kind == "group" else f"${x}" if kind == "group" else x if kind == "raw" else re.sub(r"([\\$])", r"\\\1", x) for kind, x in _apart(parts))
+        return F.regexp_replace(text, F.lit(pattern), F.lit(java))
+
+    def fill(m: re.Match) -> str:
+        said = {"text": lambda x: x, "group": lambda x: m[x] or "", "before": lambda _: m.string[: m.start()], "after": lambda _: m.string[m.end() :]}
+        return "".join(said[kind](x) for kind, x in parts)
+
+    @F.pandas_udf("string")
+    def expanded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else own.sub(fill, t))
+
+    return expanded(text)
+
+
+def _apart(parts: list[tuple[str, object]]) -> list[tuple[str, object]]:
+    """A digit after a group's number would be read as part of it where such a
+    group exists; escaped, it's a digit."""
+    out = []
+    for kind, x in parts:
+        if kind == "text" and out and out[-1][0] == "group" and x[0].isdigit():
+            out.append(("raw", "\\" + x[0]))
+            x = x[1:]
+        if x != "":
+            out.append((kind, x))
+    return out

@@ -118,3 +118,58 @@ def agreed_reading(readings: Column, own: Column | None = None) -> Column:
     """The only reading, else the lemma's own if it is one of them, else null."""
     only = F.when(F.size(readings) == 1, F.get(readings, F.lit(0)))
     return only if own is None else F.coalesce(only, F.when(F.array_contains(readings, own), own))
+
+
+def dense_ids(df: DataFrame, *keys: str, name: str = "id") -> DataFrame:
+    """df plus 0-based ids in the order of keys. Ranges are counted, and a row's
+    id is its range's offset plus its place inside; only the counts meet in one
+    task. The sorted ranges are written to the checkpoint folder, as their bounds
+    could differ if they were computed twice."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("_m", 33).alias("_part")  # how Spark builds these numbers
+    counts = placed.groupBy(part).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = F.col("_m") - F.shiftleft("_part", 33)
+    return placed.withColumn("_part", part).join(bases, "_part").select(*df.columns, (F.col("_base") + inside).alias(name))
+
+
+def lemma_conflicts(records: DataFrame) -> DataFrame:
+    """Lemma ids of records(lemma_id, lemma, origin, ...) that name two lemmas."""
+    return records.groupBy("lemma_id").agg(F.count_distinct(F.struct("lemma", "origin")).alias("n")).where("n > 1")
+
+
+def compiled_slice(records: DataFrame) -> DataFrame:
+    """id, surface, lemma_id, morphology and the sorted set of readings for each
+    (surface, lemma_id, morphology); ids follow that order."""
+    rows = records.groupBy("surface", "lemma_id", "morphology").agg(F.array_sort(F.collect_set("reading")).alias("readings"))
+    return dense_ids(rows, "surface", "lemma_id", "morphology")
+
+
+def surface_offsets(compiled: DataFrame) -> DataFrame:
+    """surface, candidate_offset, candidate_count: where a surface's candidates
+    stand in a compiled slice."""
+    return compiled.groupBy("surface").agg(F.min("id").alias("candidate_offset"), F.count("*").alias("candidate_count"))
+
+
+def changed_relations(current: DataFrame, changes: DataFrame) -> DataFrame:
+    """current(id, form) after changes(seq, op, id, form): an id's last change
+    decides; remove drops it, add and update set its form."""
+    last = changes.groupBy("id").agg(F.max_by(F.struct("op", "form"), F.struct("seq", "op")).alias("c"))
+    both = current.join(last, "id", "full")
+    return both.where("c is null or c.op <> 'remove'").select("id", F.when(F.col("c").isNull(), F.col("form")).otherwise(F.col("c.form")).alias("form"))
+
+
+def as_relations(lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """(kind, id, record) of lists {kind: (table, id column)}; a record is its
+    row as JSON, nulls included, so the inverse loses nothing."""
+    parts = [d.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record")) for kind, (d, key) in lists.items()]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def from_relations(relations: DataFrame, kind: str, schema) -> DataFrame:
+    """The list of a kind, as it was before as_relations."""
+    return relations.where(F.col("kind") == kind).select(F.from_json("record", schema).alias("r")).select("r.*")

@@ -186,3 +186,12 @@ def c46_symbol_registry(spark, sf_dir):
     atoms = lambda name: table(spark, sf_dir, name).select(F.explode(F.split("text", "")).alias("atom")).where("atom <> ''").distinct()
     old = atoms("benchmark").withColumn("id", F.row_number().over(Window.orderBy("atom")).cast("long"))
     return A.updated_registry(old, atoms("documents"))
+
+
+@query("SELECT disposition, reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'excluded' WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'fact' WHEN quality = 0 THEN 'candidate' ELSE 'unclassified' END AS disposition, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'labelled' WHEN quality = 0 THEN 'low_quality' ELSE '' END AS reason FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL")
+def c39_dispositions(spark, sf_dir):
+    """Each source record becomes something, or is excluded with a reason."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    c = F.col
+    rules = [("excluded", "empty", c("text").isNull() | (F.trim("text") == "")), ("excluded", "toxic", c("toxic") == 1), ("fact", "labelled", c("quality") == 1), ("candidate", "low_quality", c("quality") == 0)]
+    return A.dispositions(d, "doc_id", rules).groupBy("disposition", "reason").agg(F.count("*").alias("n"))

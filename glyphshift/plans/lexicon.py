@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
-from .registry import query, table, values
+from .registry import checkpointed, query, table, values
 
 
 @query("""SELECT w.word, count(l.value) AS n_found, CASE WHEN count(l.value) = 1 THEN max(l.value) END AS value FROM (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS word FROM documents) w
@@ -106,3 +106,36 @@ def f34_agreed_reading(spark, sf_dir):
     """F34 F35."""
     g = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.collect_set(F.col("s_suppkey") % 3).alias("r"))
     return g.select("nation", L.agreed_reading(F.col("r"), F.lit(0).cast("bigint")).alias("reading"))
+
+
+@query("""WITH g AS (SELECT p_brand AS surface, CAST(p_size AS BIGINT) AS lemma_id, p_type AS morphology, string_agg(DISTINCT p_name, '|' ORDER BY p_name) AS readings FROM part GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (ORDER BY surface, lemma_id, morphology) - 1 AS id FROM g)
+SELECT id, surface, lemma_id, morphology, readings, min(id) OVER (PARTITION BY surface) AS candidate_offset, count(*) OVER (PARTITION BY surface) AS candidate_count FROM n""")
+def s14_compiled_slice(spark, sf_dir):
+    """Candidates with dense ids, and where a surface's stand."""
+    checkpointed(spark)
+    p = table(spark, sf_dir, "part").select(F.col("p_brand").alias("surface"), F.col("p_size").cast("long").alias("lemma_id"), F.col("p_type").alias("morphology"), F.col("p_name").alias("reading"))
+    done = L.compiled_slice(p)
+    return done.join(L.surface_offsets(done), "surface").select("id", "surface", "lemma_id", "morphology", F.array_join("readings", "|").alias("readings"), "candidate_offset", "candidate_count")
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS lemma_id, count(DISTINCT (p_brand, p_type)) AS n FROM part GROUP BY p_size HAVING count(DISTINCT (p_brand, p_type)) > 1")
+def s14_lemma_conflicts(spark, sf_dir):
+    """Ids that name several lemmas."""
+    return L.lemma_conflicts(table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("lemma_id"), F.col("p_brand").alias("lemma"), F.col("p_type").alias("origin")))
+
+
+@query("""WITH c AS (SELECT CAST(s_nationkey AS BIGINT) AS id, arg_max(s_acctbal < 0, s_suppkey) AS gone, arg_max(s_name, s_suppkey) AS form FROM supplier GROUP BY s_nationkey)
+SELECT coalesce(c.id, CAST(n.n_regionkey AS BIGINT)) AS id, coalesce(c.form, n.form) AS form FROM (SELECT n_regionkey, min(n_name) AS form FROM nation GROUP BY n_regionkey) n FULL JOIN c ON c.id = n.n_regionkey WHERE gone IS NULL OR NOT gone""")
+def c35_relation_changes(spark, sf_dir):
+    """Added, updated and removed relations; the last change decides."""
+    now = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("id")).agg(F.min("n_name").alias("form"))
+    changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seq"), F.when(F.col("s_acctbal") < 0, "remove").otherwise("update").alias("op"), F.col("s_nationkey").cast("long").alias("id"), F.col("s_name").alias("form"))
+    return L.changed_relations(now, changes)
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def c40_relation_roundtrip(spark, sf_dir):
+    """Lists as one table of relations, and a list back from it."""
+    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "supplier")}
+    return L.from_relations(L.as_relations({n: (d, d.columns[0]) for n, d in t.items()}), "supplier", t["supplier"].schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpointed(spark: SparkSession) -> None:
+    """The cluster names the checkpoint folder; only where it names none (tests)
+    a local one is set."""
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphshift-"))
+
+
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     """Literal rows, as SQL: a rule table that a query brings along."""
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")

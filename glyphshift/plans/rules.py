@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rules as R
-from .registry import query, table, values
+from .registry import checkpointed, query, table, values
 
 
 def _rules(spark, sf_dir):
@@ -60,10 +60,7 @@ SELECT d.id, CAST(n_regionkey AS INTEGER) AS stage, CAST(depth AS INTEGER) AS de
 def o2_rule_order(spark, sf_dir):
     """Depth of each rule in its chain of dependencies."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lit(0).alias("stage"), F.when(F.col("n_nationkey") % 5 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("n_nationkey").cast("bigint") - 1)).alias("depends_on"))
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rules-"))
+    checkpointed(spark)
     return R.ordered(n.withColumn("id", F.col("id").cast("bigint"))).select("id", "stage", "depth")
 
 

@@ -130,3 +130,10 @@ def f30_long_vowel_abbreviation(spark, sf_dir):
     """F30 P19."""
     w = values(spark, "('コンピューター'), ('サーバーエラー'), ('バターの味'), ('キーを押す'), ('データベース'), ('ユーザーとメーカー。')", "src").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
     return w.select("r_regionkey", "src", kana.abbreviated_long_vowels(F.col("src"), ("バター",), 3).alias("short"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '([aeiou])(n)', '[\2\1|\0]$', 'g')) AS expanded_md5 FROM documents")
+def f14_replacement_templates(spark, sf_dir):
+    """groups, the match and a literal sign in a template."""
+    made = strings.expand_template(F.col("text"), "([aeiou])(n)", "[$2$1|$&]$$")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(made.cast("binary")).alias("expanded_md5"))

@@ -36,3 +36,11 @@ def table_digest(df: DataFrame) -> DataFrame:
 def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
     """Range-sharded by key and sorted inside, so a key's readers skip the rest."""
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+
+
+def write_profile(rules: DataFrame, path: str, name: str) -> None:
+    """One JSON object: the profile's name and its rules(id, enabled, priority) in
+    the order of ids. A profile lists rules that people wrote, so it's one row."""
+    row = F.struct(F.col("id").cast("string").alias("id"), F.coalesce("enabled", F.lit(True)).alias("enabled"), F.coalesce("priority", F.lit(0)).cast("int").alias("priority"))
+    whole = rules.agg(F.array_sort(F.collect_list(row)).alias("rules")).select(F.to_json(F.struct(F.lit(name).alias("name"), "rules")).alias("value"))
+    whole.coalesce(1).write.mode("overwrite").text(path)
