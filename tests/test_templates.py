@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphshift.functions import strings
 from glyphshift.operators import audit as A
 from glyphshift.operators import lexicon as L
+from glyphshift.operators import programs as P
 from glyphshift.sources import readers, writers
 
 
@@ -61,3 +62,14 @@ def test_rule_tree(spark, tmp_path):
     assert got == {("/rules/0", ("r",), True, '{"a": 1}'), ("/children/0/children/0/rules/0", ("r", "x", "y"), False, '{"b": 2}'), ("/children/0/children/0/rules/1", ("r", "x", "y"), False, '{"b": 3}')}
     (tmp_path / "f.json").write_text('[{"c": 1}]')
     assert readers.read_rule_tree(spark, str(tmp_path / "f.json")).first()["locator"] == "/0"
+
+
+def test_program_circles_and_dangling_calls(spark):
+    rows = [("p", None, None, None, None, None, [], False, ["q"]), ("q", None, None, None, None, None, [("x", False)], None, ["p", "gone"])]
+    programs = spark.createDataFrame(rows, P.PROGRAM)
+    states = spark.createDataFrame([(1, "p", None, None, None, None), (2, "gone", "a", None, ["x"], {})], "state_id long, program string, profile string, symbol string, lexemes array<string>, context map<string,string>")
+    assert [tuple(r) for r in P.dangling_calls(programs).collect()] == [("q", "gone")]
+    with pytest.raises(ValueError, match="deeper"):
+        P.run_programs(states, programs, depth=3)
+    straight = programs.withColumn("calls", F.when(F.col("program") == "p", F.array(F.lit("q"))))
+    assert [tuple(r) for r in P.run_programs(states, straight).collect()] == [(1, "x", False, False)]
