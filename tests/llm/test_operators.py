@@ -287,3 +287,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(passage not in (t or "") for t in left["substring_dedup"].values()) and left["substring_dedup"].keys() == left["simhash_near_dedup"].keys()
     assert left["substring_dedup"].keys() - left["decontamination"].keys() == {3000}
     assert docs.columns == ["doc_id", "n_tokens", "token_ids", "decoded_sha256"] and docs.count() == len(left["decontamination"])
+
+
+def test_near_duplicate_stage_links_edited_copies(spark, docs, none):
+    import corpus_pipeline
+
+    def found(text: str | None) -> frozenset:
+        words = (text or "").encode().lower().split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+
+    r = random.Random(11)
+    say = lambda n: [r.choice("abcdefghijklmnop") + str(r.randint(0, 99)) for _ in range(n)]
+    made = []
+    for _ in range(60):
+        words = say(r.randint(30, 200))
+        made.append(words)
+        for _ in range(r.randint(0, 3)):
+            words = list(words)
+            for _ in range(r.randint(1, 4)):
+                words[r.randrange(len(words))] = "edited"
+            made.append(words)
+    rows_ = [(d, t) for d, t in plain(docs) if d is not None] + [(10_000 + i, " ".join(w)) for i, w in enumerate(made)]
+    sets = [found(t) for _, t in rows_]
+    group = list(range(len(rows_)))
+    for i in range(len(rows_)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    least: dict[int, int] = {}
+    for (d, _), g in zip(rows_, group):
+        least[g] = min(d, least.get(g, d))
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert len(least) < simhash_dedup.kept_documents(df).count()
+    assert corpus_pipeline.near_duplicate_stage(spark, none, "").count() == 0
