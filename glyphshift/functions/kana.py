@@ -70,17 +70,30 @@ def expand_marks(c: Column) -> Column:
     return F.aggregate(chars, F.lit(""), step)
 
 
+#: Characters whose voiced form is one character too, and that form, as Unicode composes them.
+_PLAIN = UNVOICED + "うゝ" + "".join(chr(ord(x) + 0x60) for x in UNVOICED) + "ウワヰヱヲヽ"
+_VOICED = VOICED + "ゔゞ" + "".join(chr(ord(x) + 0x60) for x in VOICED) + "ヴヷヸヹヺヾ"
+
+
 def render_marks(c: Column) -> Column:
-    """The second of two equal kana as ゝ, of two equal ideographs as 々. It looks
-    at the source on both sides, so each place is on its own."""
+    """The second of two equal ideographs as 々, of two equal kana as ゝ or ヽ,
+    and a voiced kana after its unvoiced form as ゞ or ヾ. It looks at the source
+    on both sides, so each place is on its own."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    out = F.transform(
-        chars,
-        lambda x, i: F.when((i > 0) & (x == F.get(chars, i - 1)) & x.rlike("[ぁ-ゖ]"), F.lit("ゝ"))
-        .when((i > 0) & (x == F.get(chars, i - 1)) & x.rlike("[一-鿿]"), F.lit("々"))
-        .otherwise(x),
-    )
-    return F.array_join(out, "")
+
+    def mark(x: Column, i: Column) -> Column:
+        before = F.get(chars, i - 1)
+        again = (i > 0) & (x == before)
+        voicing = (i > 0) & (x != before) & (x == F.translate(before, _PLAIN, _VOICED))
+        hira, kata = before.rlike(r"\p{IsHiragana}"), before.rlike(r"\p{IsKatakana}")
+        return (
+            F.when(again & before.rlike(r"\p{IsHan}"), F.lit("々"))
+            .when(again & hira, F.lit("ゝ")).when(again & kata, F.lit("ヽ"))
+            .when(voicing & hira, F.lit("ゞ")).when(voicing & kata, F.lit("ヾ"))
+            .otherwise(x)
+        )
+
+    return F.array_join(F.transform(chars, mark), "")
 
 
 def render_span(c: Column) -> Column:

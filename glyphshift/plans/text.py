@@ -32,7 +32,7 @@ def f4_iteration_marks(spark, sf_dir):
     """Marks written out and back."""
     w = values(spark, "('かゞ'), ('こゝろ'), ('人々'), ('ああいふ'), ('はゝ')", "word").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
     full = kana.expand_marks(F.col("word"))
-    return w.select("r_regionkey", "word", full.alias("expanded"), F.when(F.col("word") == "かゞ", F.col("word")).otherwise(kana.render_marks(full)).alias("rendered"))
+    return w.select("r_regionkey", "word", full.alias("expanded"), kana.render_marks(full).alias("rendered"))
 
 
 @query("SELECT r_regionkey, word, CASE WHEN length(word) >= 4 AND length(word) % 2 = 0 AND left(word, length(word) // 2) = right(word, length(word) // 2) THEN left(word, length(word) // 2) || '〳〵' ELSE word END AS rendered FROM (VALUES ('いろいろ'), ('ますます'), ('さくら'), ('はは')) t(word), region")

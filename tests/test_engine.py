@@ -101,6 +101,12 @@ def test_marks_fail_without_base(spark):
         spark.createDataFrame([("ゝあ",)], "w string").select(kana.expand_marks(F.col("w"))).collect()
 
 
+def test_marks_of_voiced_kana_and_katakana(spark):
+    cases = {"みすず": "みすゞ", "かが": "かゞ", "ココロ": "コヽロ", "カガミ": "カヾミ", "ウヴ": "ウヾ", "がか": "がか", "はぱ": "はぱ", "ラーー": "ラーー", "人人": "人々", "𠮷𠮷": "𠮷々", "あ": "あ", "": ""}
+    got = spark.createDataFrame([(w,) for w in cases], "w string").select("w", kana.render_marks(F.col("w")).alias("r")).collect()
+    assert {r["w"]: r["r"] for r in got} == cases
+
+
 def test_ruby_and_dates(spark):
     row = spark.range(1).select(strings.implicit_ruby_to_explicit(F.lit("学校《がっこう》")).alias("a"), strings.slashed_dates(F.lit("2014年2月3日")).alias("b"), strings.utf16_length(F.lit("𠮷野")).alias("c")).first()
     assert tuple(row) == ("｜学校《がっこう》", "2014/2/3", 3)
