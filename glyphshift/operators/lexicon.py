@@ -30,18 +30,26 @@ def compositions(words: DataFrame, parts: DataFrame) -> DataFrame:
     return cut.join(a, "left").join(b, "right").where(F.concat("lr", "rr") == F.col("reading")).select("surface", "reading", "left", "right").distinct()
 
 
-def aligned_components(words: DataFrame, components: DataFrame, longest: int = 12) -> DataFrame:
+def aligned_components(words: DataFrame, components: DataFrame, steps: int = 12) -> DataFrame:
     """surface, reading, historical: spellings that characters' component
-    readings allow for the whole word. A step for each character; states with
-    one remaining reading and spelling are one."""
-    state = words.select("surface", "reading", F.lit("").alias("done"), F.lit(0).alias("said"))
-    for i in range(longest):
-        ends = state.where(F.length("surface") <= i)
-        live = state.where(F.length("surface") > i).withColumn("character", F.substring("surface", i + 1, 1))
-        step = live.join(components, "character").where(F.expr("substring(reading, said + 1, length(modern)) = modern"))
-        step = step.select("surface", "reading", F.concat("done", "historical").alias("done"), (F.col("said") + F.length("modern")).alias("said")).distinct()
-        state = ends.unionByName(step)
-    return state.where((F.length("surface") <= longest) & (F.col("said") == F.length("reading"))).select("surface", "reading", F.col("done").alias("historical")).distinct()
+    readings allow for the whole word, however long it is. A step for each
+    character; states with one remaining reading and spelling are one. After
+    every `steps` characters the states that go on are written to the checkpoint
+    folder, until none is left."""
+    live = words.select("surface", "reading", F.lit("").alias("done"), F.lit(0).alias("said"))
+    whole = None
+    at = 0
+    while True:
+        for _ in range(steps):
+            ends = live.where((F.length("surface") <= at) & (F.col("said") == F.length("reading"))).select("surface", "reading", F.col("done").alias("historical"))
+            whole = ends if whole is None else whole.unionByName(ends)
+            on = live.where(F.length("surface") > at).withColumn("character", F.substring("surface", at + 1, 1))
+            step = on.join(components, "character").where(F.expr("substring(reading, said + 1, length(modern)) = modern"))
+            live = step.select("surface", "reading", F.concat("done", "historical").alias("done"), (F.col("said") + F.length("modern")).alias("said")).distinct()
+            at += 1
+        live = live.checkpoint()
+        if live.isEmpty():
+            return whole.distinct()
 
 
 def resolved(candidates: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -42,6 +42,7 @@ def j7_compositions(spark, sf_dir):
 @query("SELECT surface, reading, historical FROM (VALUES ('学校','がっこう','がくかう'), ('法','ほう','はふ'), ('法','ほう','ほふ')) t(surface, reading, historical), region WHERE r_regionkey = 0")
 def c17_component_spellings(spark, sf_dir):
     """Component readings along a word."""
+    checkpointed(spark)
     one = F.broadcast(table(spark, sf_dir, "region").where("r_regionkey = 0").select())
     words = values(spark, "('学校','がっこう'), ('法','ほう'), ('学ぶ','まなぶ')", "surface, reading").crossJoin(one)
     parts = values(spark, "('学','がく','がく'), ('学','がっ','がく'), ('校','こう','かう'), ('法','ほう','はふ'), ('法','ほう','ほふ')", "character, modern, historical")

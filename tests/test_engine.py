@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphshift.functions import kana, strings
+from glyphshift.operators import lexicon as L
 from glyphshift.operators import matching as M
 from glyphshift.operators import rules as R
 from glyphshift.plans import registry
@@ -107,6 +108,15 @@ def test_marks_of_voiced_kana_and_katakana(spark):
     assert {r["w"]: r["r"] for r in got} == cases
 
 
+@pytest.mark.parametrize("steps", [1, 4, 12])
+def test_components_of_words_of_any_length(spark, steps):
+    registry.checkpointed(spark)
+    parts = spark.createDataFrame([("学", "がく", "がく"), ("校", "こう", "かう")], "character string, modern string, historical string")
+    words = spark.createDataFrame([("学校" * n, "がくこう" * n) for n in (1, 2, 3, 7)] + [("学校学", "がくこう"), ("", "")], "surface string, reading string")
+    got = {tuple(r) for r in L.aligned_components(words, parts, steps).collect()}
+    assert got == {("学校" * n, "がくこう" * n, "がくかう" * n) for n in (1, 2, 3, 7)} | {("", "", "")}
+
+
 def test_ruby_and_dates(spark):
     row = spark.range(1).select(strings.implicit_ruby_to_explicit(F.lit("学校《がっこう》")).alias("a"), strings.slashed_dates(F.lit("2014年2月3日")).alias("b"), strings.utf16_length(F.lit("𠮷野")).alias("c")).first()
     assert tuple(row) == ("｜学校《がっこう》", "2014/2/3", 3)
