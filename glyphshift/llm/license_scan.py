@@ -1,11 +1,12 @@
 """Licence scan: normalised text against licence templates by the Dice
 coefficient over word bigrams.
 
-Candidates are the runs of whole lines of a text (a notice is a line, a licence
-a run of lines). A template compares only with runs whose number of bigrams
-allows the threshold: Dice 2c/(a+b) with c <= min(a, b) reaches t only for
-a between b*t/(2-t) and b*(2-t)/t. Before that, a template drops out for a whole
-text that shares fewer of its bigrams than the smallest such run needs.
+Candidates are the runs of words of a text, wherever its lines break, that begin
+and end with a bigram of the template (one that doesn't only lowers Dice at an
+end). A template compares only with runs whose number of bigrams allows the
+threshold: Dice 2c/(a+b) with c <= min(a, b) reaches t only for a between
+b*t/(2-t) and b*(2-t)/t. Before that, a template drops out for a whole text that
+shares fewer of its bigrams than the smallest such run needs.
 """
 
 from __future__ import annotations
@@ -71,40 +72,43 @@ class Scanner:
                 self.of.setdefault(g, []).append(k)
         self.firsts = {g[0] for g in self.of}
 
+    def runs(self, words: list[str], k: int) -> Iterator[tuple[float, int, int]]:
+        """(Dice, first word, last word) of every run that reaches the threshold
+        with template k and begins and ends with one of its bigrams."""
+        _, template, size = self.templates[k]
+        low, high = self.bounds[k]
+        shared = [(i, g) for i, g in enumerate(zip(words, words[1:])) if g in template]
+        for at, (a, _) in enumerate(shared):
+            common_, seen = 0, Counter()
+            for b, g in shared[at:]:
+                n = b - a + 1
+                if n > high + 1e-9:
+                    break
+                seen[g] += 1
+                common_ += seen[g] <= template[g]
+                if n >= low - 1e-9 and 2 * common_ >= (self.threshold - 1e-9) * (n + size):
+                    yield 2 * common_ / (n + size), a, b + 1
+
     def scan(self, text: str | None) -> dict[str, tuple[float, int, int]]:
-        """licence -> (Dice, first line, lines) of its best run of lines."""
+        """licence -> (Dice, first line, lines) of its best run of words."""
         words = normalised(text)
         if self.firsts.isdisjoint(words):
             return {}
         shared = Counter(k for g in set(zip(words, words[1:])) & self.of.keys() for k in self.of[g])
         # The shortest run that may match has `low` bigrams, and 2c >= t(a+b) then asks for this many.
         live = [k for k, n in shared.items() if n >= min(len(self.templates[k][1]), 1) and n * max(self.templates[k][1].values()) >= self.threshold * (self.bounds[k][0] + self.templates[k][2]) / 2 - 1e-9]
-        found: dict[str, tuple[float, int, int]] = {}
-        if not live:
-            return found
-        lines = [(i, ws) for i, ws in enumerate(map(normalised, (text or "").split("\n"))) if ws]
-        for k in sorted(live):
-            name, template, size = self.templates[k]
-            low, high = self.bounds[k]
-            for a in range(len(lines)):
-                run: list[str] = []
-                for b in range(a, len(lines)):
-                    run = run + lines[b][1]
-                    if len(run) - 1 > high + 1e-9:
-                        break
-                    if len(run) - 1 >= low - 1e-9:
-                        d = dice(bigrams(run), template)
-                        got = (d, -lines[a][0], lines[a][0] - lines[b][0] - 1)
-                        if d >= self.threshold - 1e-9 and (name not in found or got > found[name]):
-                            found[name] = got
-        # Of licences found in overlapping lines, the closest one holds.
         out: dict[str, tuple[float, int, int]] = {}
-        taken: set[int] = set()
-        for n, (d, a, c) in sorted(found.items(), key=lambda x: (-x[1][0], x[1][1], x[0])):
-            own = set(range(-a, -a - c))
-            if own.isdisjoint(taken):
-                out[n] = (d, -a, -c)
-                taken |= own
+        if not live:
+            return out
+        lines = [(i, normalised(line)) for i, line in enumerate((text or "").split("\n"))]
+        words, line_of = [w for _, ws in lines for w in ws], [i for i, ws in lines for _ in ws]
+        # Of runs that overlap, the closest one holds; a licence's later places keep others off too.
+        taken = bytearray(len(words))
+        found = [(-d, a, b, self.templates[k][0]) for k in live for d, a, b in self.runs(words, k)]
+        for d, a, b, name in sorted(found):
+            if taken.find(1, a, b + 1) < 0:
+                taken[a : b + 1] = b"\1" * (b + 1 - a)
+                out.setdefault(name, (-d, line_of[a], line_of[b] - line_of[a] + 1))
         return out
 
 

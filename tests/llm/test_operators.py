@@ -244,6 +244,20 @@ def test_licenses(spark, none):
         assert best[0] == 1 and name in scanner.scan(text)
 
 
+def test_licenses_inside_lines():
+    scanner = license_scan.Scanner()
+    mit = license_scan.TEMPLATES[0][1]
+    flat = "filler words go here " * 300
+    assert scanner.scan("A tool. Released under the MIT License. See the folder for all the details of it.") == {"MIT": (1.0, 0, 1)}
+    assert scanner.scan(f"{flat}{mit} {flat}") == {"MIT": (1.0, 0, 1)}
+    assert scanner.scan(f"{flat}\n{flat}{mit[:300]}\n{mit[300:]} {flat}")["MIT"][1:] == (1, 2)
+    both = scanner.scan("Code is Licensed under the BSD 3-Clause License. and text is Licensed under CC BY-NC-SA 4.0. so be it")
+    assert both == {"BSD-3-Clause": (1.0, 0, 1), "CC-BY-NC-SA-4.0": (1.0, 0, 1)}
+    # The best run for "near" lies under "exact"; its second place holds.
+    pair = license_scan.Scanner([("exact", "a b c d e f g h"), ("near", "a b c d e f g x y")])
+    assert set(pair.scan("a b c d e f g h\nand then\nc d e f g x y")) == {"exact", "near"}
+
+
 def test_html(spark):
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">home</a></li></ul></nav><div class="ad">buy</div><article><h1>Head &amp; line</h1><p><b>One<br><p>Two  \n words</p><p>&lt;3 &am</p></article><div id="comments"><p>first!</p></div><footer>&copy;</footer>'
     rows_ = [(i, "http://h.example/x", page) for i in range(6)] + [(6, None, None), (7, "bad url", ""), (8, "http://h.example/y", "plain text"), (9, "http://o.example", "<div>a<div>b</div>c</div><form>no</form>"), (9, "http://o.example", "<div>a<div>b</div>c</div><form>no</form>")]
