@@ -31,9 +31,11 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the
-    session. Only where the session names none (tests) a local one is set."""
+    session. Where it names none, a local one is set if all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="glyphshift-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -43,15 +45,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/glyphshift/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, survives lost
-    executors, and lets Spark drop the shuffle files of the job that made it."""
+    executors, and lets Spark drop the shuffle files of the job that made it, at
+    once unless that was a small one."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     del df
-    free(spark)
+    if not small:
+        free(spark)
     return out
 
 
@@ -71,6 +75,41 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """df with its own columns of these names under free ones, so that columns of
+    these names can be added, and the pairs (own name, name now)."""
+    asked = {n.lower() for n in names}
+    taken = asked | {c.lower() for c in df.columns}
+    pairs = []
+    for c in df.columns:
+        now, k = c, 0
+        while now.lower() in asked or now != c and now.lower() in taken:
+            now, k = f"{c}_{k}", k + 1
+        taken.add(now.lower())
+        pairs.append((c, now))
+    return df.toDF(*[now for _, now in pairs]), pairs
+
+
+def given_back(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """The columns that set_aside renamed, under their own names; no others."""
+    return df.select(*[F.col(f"`{now}`").alias(c) for c, now in pairs])
+
+
+def without(df: DataFrame, names: list[str]) -> list[str]:
+    """The columns of df that none of these names would clash with."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
+def chosen_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, hash of text) is in wanted(_id, _key), one
+    for each pair."""
+    own, pairs = set_aside(docs, ["_id", "_key", "_text"])
+    keyed = own.withColumn("_text", F.xxhash64("text"))
+    kept = keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_text"] == F.col("_key")), "left_semi")
+    return given_back(kept.dropDuplicates(["doc_id", "_text"]), pairs)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -209,19 +248,21 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     Alternating stars: each node's larger neighbours are tied to the least one
     around it, then its smaller ones, until every node hangs on its root. Both
     steps are a min by node (combined before the shuffle, so a node with very
-    many links is harmless) and a join that adaptive execution can split. The
-    links stay in the shared folder; nothing but two numbers gets to the driver."""
+    many links is harmless) and a join of two written tables, which adaptive
+    execution can split. The links stay in the shared folder; nothing but two
+    numbers gets to the driver."""
     ends = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     cur, mark = written(ends, name), None
     for _ in range(rounds):
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name, small=True)
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), name, small=True)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name, small=True)
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         new = written(small, name)
         got = new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        dropped(new.sparkSession, cur)
+        for df in (cur, least, large, low):
+            dropped(new.sparkSession, df)
         cur, mark, same = new, tuple(got), tuple(got) == mark
         if same or not got[0]:
             break

@@ -10,7 +10,9 @@ with that range flipped. The two distances of such a couple tell how many bits
 of the range differ from the base. Two fingerprints within radius 4 differ in at
 most 4 of the 6 ranges, so in at least 2 ranges all their coordinates agree:
 pairs are looked for under the coordinates of each 2 of the 6 ranges (15 keys
-for a fingerprint), which loses none.
+for a fingerprint), which loses none. The rest of the bits of two fingerprints
+under one key are 5 parts of which at least one agrees, so a key of very many
+fingerprints is split by the coordinates of each of those parts.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from . import common
 
 RADIUS, BLOCKS, FAMILIES, SEED = 4, 6, 8, 42
 KEEP_BLOCKS = BLOCKS - RADIUS
+#: A key of more fingerprints is split.
+HOT = 1024
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = SEED) -> int:
@@ -99,6 +103,23 @@ def pivot_keys(fps: np.ndarray) -> np.ndarray:
     return np.stack(keys, axis=1)
 
 
+def part_keys(fps: np.ndarray, key: int) -> np.ndarray:
+    """A key for each of RADIUS + 1 parts (columns) of the bits outside the ranges
+    of the key-th choice: the part's pivot coordinates, hashed to 64 bits."""
+    base, masks = _pivots()
+    chosen = list(combinations(range(BLOCKS), KEEP_BLOCKS))[key]
+    bits = [i for b, m in enumerate(masks) if b not in chosen for i in range(64) if int(m) >> i & 1]
+    keys = []
+    for n, part in enumerate(np.array_split(np.array(bits), RADIUS + 1)):
+        mask = np.uint64(sum(1 << int(i) for i in part))
+        h = np.full(len(fps), n + 1, np.uint64)
+        inside = np.bitwise_count(fps[:, None] ^ (base ^ mask)[None, :]).astype(np.int64) - np.bitwise_count(fps[:, None] ^ base[None, :])
+        for column in (inside + 64).astype(np.uint64).T:
+            h = common.joined(h, column)
+        keys.append(h)
+    return np.stack(keys, axis=1)
+
+
 def within(fa: np.ndarray, ta: np.ndarray, fb: np.ndarray, tb: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) at radius or less: pivots first, a few at a time, then the bits."""
     i, j = (x.ravel() for x in np.indices((len(fa), len(fb)), dtype=np.int32))
@@ -133,14 +154,27 @@ def group_links(fps: np.ndarray, radius: int = RADIUS, block: int = 256) -> list
     return links
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, hot: int = HOT) -> DataFrame:
     """(u, v) long: links that connect the distinct fingerprints of nodes(fp)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             keys = pivot_keys(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(fps, keys.shape[1]))], ["key", "fp"])
+            n = keys.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(fps))), pa.array(np.repeat(fps, n))], ["key", "choice", "fp"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, choices, fps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "choice", "fp"))
+            parts, owners = [], []
+            for c in np.unique(choices):
+                own = fps[choices == c]
+                found = common.joined(keys[choices == c].view(np.uint64)[:, None], part_keys(own.view(np.uint64), int(c)))
+                parts.append(found.ravel())
+                owners.append(np.repeat(own, found.shape[1]))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(np.concatenate(owners))], ["key", "fp"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in common.sorted_groups(batches, "key"):
@@ -154,8 +188,12 @@ def links(nodes: DataFrame) -> DataFrame:
                 pairs = np.array(found, np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    keyed = nodes.select("fp").mapInArrow(spread, "key long, fp long")
-    dealt = keyed.repartition(common.parallelism(nodes.sparkSession), "key").sortWithinPartitions("key")
+    keyed = nodes.select("fp").mapInArrow(spread, "key long, choice int, fp long")
+    large = common.written(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"), "simhash-hot")
+    if not large.isEmpty():
+        many = keyed.join(large, "key", "left_semi").select("key", "choice", "fp").mapInArrow(split, "key long, fp long")
+        keyed = keyed.join(large, "key", "left_anti").select("key", "fp").unionByName(many)
+    dealt = keyed.select("key", "fp").repartition(common.parallelism(nodes.sparkSession), "key").sortWithinPartitions("key")
     return dealt.mapInArrow(joined, "u long, v long").distinct()
 
 
@@ -170,7 +208,8 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = common.written(fps.groupBy("fp").agg(F.min(row).alias("least"), F.count("*").alias("n")), "simhash-nodes")
     roots = common.components(common.written(links(nodes), "simhash-links"), "simhash-components")
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    whole = labelled.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("size"))
+    labelled = common.written(labelled.select("fp", "root", "least", "n"), "simhash-labelled")
+    whole = common.written(labelled.groupBy("root").agg(F.min("least").alias("first"), F.sum("n").alias("size")), "simhash-whole")
     answer = labelled.select("fp", "root").join(whole, "root").select("fp", F.col("first.doc_id").alias("component_id"), "size", "first")
     return fps, common.written(answer, "simhash-answer")
 
@@ -182,16 +221,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Null texts and texts without words have fingerprint 0 and link like any
     other. Rows with the same fingerprint, copies included, are one node and one
     component; a null doc_id takes part but is never a component_id unless all
-    of the component are null. Repeated rows are answered once each."""
+    of the component are null. Repeated rows are answered once each; an empty
+    table gives no rows. Other columns are not read, whatever their names."""
     fps, answer = _classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     return fps.join(answer, "fp").select("doc_id", "fp", "component_id", "size")
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each group: its least (doc_id, text
-    hash), nulls last. Of a row that is repeated one stays."""
+    """docs, its columns as they are, without all but one document of each group:
+    its least (doc_id, text hash), nulls last. Of a row that is repeated one stays."""
     _, answer = _classes(docs.select("doc_id", "text"))
-    first = answer.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text", F.xxhash64("text"))
-    kept = keyed.join(first, keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["_text"] == F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    first = common.written(answer.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key")).distinct(), "simhash-kept")
+    return common.chosen_rows(docs, first)
