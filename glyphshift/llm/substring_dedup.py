@@ -1,18 +1,25 @@
 """Removal of repeated word windows by level-wise doubling.
 
-Window hashes double from single words up. The first counted level is half the
-wanted length: of all windows of ceil(n/2) words only the least in each n-word
-window, its anchor, is counted (equal n-word windows have equal anchors at equal
-places, so none is lost and a tenth of the positions is shuffled). Anchors that
-occur once end here; those that repeat, alone, are extended to twice the length:
-
-* all n-word windows of an anchor form one span. Equal spans are found by one
-  hash; every window of a span that occurs twice repeats.
-* where an anchor stands in several different spans (the rims of copied
-  passages), its single n-word windows are compared.
-
-Longer repeats consist of repeated n-word windows, so no candidate is left to
-double when the wanted length is reached.
+Lengths double up to the wanted one: for 35 words, windows of 9, of 18 and of 35
+(a last step may be shorter than a doubling). At each level windows are counted
+over all documents, and those that occur once at that length end there; the
+others, alone, are extended to the next length.
+
+* First level: of all 9-word windows only the least in each 35-word window, its
+  anchor, is counted. Equal 35-word windows have equal anchors at equal places,
+  so none is lost, and a fourteenth of the positions is shuffled.
+* Between: an anchor that repeats is extended to the window of the next length
+  that holds it and fits inside: to its right, or where that overruns the 35-word
+  window to its left. Only what repeats again goes on.
+* Last level: all 35-word windows of an anchor's place form one span. Equal spans
+  are found by one hash; every window of a span that occurs twice repeats. Where
+  an anchor stands in several different spans (the rims of copied passages), its
+  single 35-word windows are compared.
+
+Longer repeats consist of repeated 35-word windows, so no candidate is left to
+double when the wanted length is reached. Window hashes double from single words
+up. A hit has equal 64-bit hashes at every level, the last two of which are 128
+bits together.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW = 35
+WINDOW, LEAST = 35, 9
 _PLACE = 28  # bits of a position inside a batch
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -46,15 +53,27 @@ def _line(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return h, np.cumsum(sizes) - sizes, sizes
 
 
+def levels(n: int, least: int = LEAST) -> list[int]:
+    """The lengths that are counted, each at most twice the one before, up to n;
+    the first is `least` at most."""
+    out = [n]
+    while out[0] > least or len(out) < 2 and n > 1:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
+
+
 def spans(texts: list[bytes | None], n: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """For each span: text's place, hash of its anchor, hash of the span, first
-    window's word position in the text, number of windows."""
-    k = (n + 1) // 2
+    """For each span: text's place, hash of its anchor, hash of the anchor's
+    extension below n words (the anchor itself if there is no such level), hash of
+    the span, first window's word position in the text, number of windows."""
+    steps = levels(n)
+    k = steps[0]
     h, first, sizes = _line(texts)
     none = np.zeros(0, np.int64)
+    nothing = (none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), none, none)
     if len(h) < n:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
-    hashed = common.window_hashes(h, [k, n])
+        return nothing
+    hashed = common.window_hashes(h, steps)
     place = np.arange(len(hashed[k]), dtype=np.uint64)
     least = (hashed[k] >> np.uint64(_PLACE) << np.uint64(_PLACE)) | place
     width, p = n - k + 1, 1
@@ -64,14 +83,24 @@ def spans(texts: list[bytes | None], n: int = WINDOW) -> tuple[np.ndarray, ...]:
     least = np.minimum(least[: len(least) - (width - p)], least[width - p :]) if width > p else least
     at = np.flatnonzero(np.arange(len(h)) + n <= np.repeat(first + sizes, sizes))
     if not len(at):
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return nothing
     doc = np.repeat(np.arange(len(texts)), sizes)[at]
     anchor = (least[at] & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
-    start = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))))
+    # The side to which the anchor is extended at each level between, for each window.
+    longer, side = np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+    for m in steps[1:-1]:
+        right = anchor + m <= at + n
+        begin = np.where(right, anchor, anchor + k - m)
+        longer = common.joined(longer ^ right.astype(np.uint64), hashed[m][begin])
+        side = 2 * side + right
+    if len(steps) < 3:
+        longer = hashed[k][anchor]
+    new = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (side[1:] != side[:-1])
+    start = np.flatnonzero(np.concatenate(([True], new)))
     count = np.diff(np.concatenate((start, [len(at)])))
     a, b = at[start], at[start] + count - 1
     span = common.joined(common.joined(hashed[n][a], hashed[n][b]), (count * 4096 + anchor[start] - a).astype(np.uint64))
-    return doc[start], hashed[k][anchor[start]], span, a - first[doc[start]], count
+    return doc[start], hashed[k][anchor[start]], longer[start], span, a - first[doc[start]], count
 
 
 def _rows(batch: pa.RecordBatch, take: np.ndarray, name: str) -> pa.Array:
@@ -86,17 +115,23 @@ def repeated_ranges(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     def first_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, anchor, span, at, count = spans(common.binary(batch.column("text")), n)
-            yield pa.RecordBatch.from_arrays([_rows(batch, doc, "row_id"), pa.array(anchor.view(np.int64)), pa.array(span.view(np.int64)), pa.array(at * 4096 + count)], ["row_id", "anchor", "span", "place"])
-
-    found = common.written(docs.select("row_id", "text").mapInArrow(first_level, "row_id long, anchor long, span long, place long"), "repeat-spans")
-    # An anchor that stands once is dropped by neither condition holding.
-    each = found.groupBy("anchor", "span").agg(F.count("*").alias("n"))
-    mixed = each.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1").select("anchor", F.lit(True).alias("mixed"))
-    state = each.join(mixed, "anchor", "left").where("n > 1 or mixed").select("anchor", "span", (F.col("n") > 1).alias("whole"), F.coalesce("mixed", F.lit(False)).alias("mixed"))
-    state = common.written(state, "repeat-state")
-    hits = common.written(found.join(state, ["anchor", "span"]).select("row_id", "anchor", "span", "place", "whole", "mixed"), "repeat-hits")
+            doc, short, anchor, span, at, count = spans(common.binary(batch.column("text")), n)
+            signed = [pa.array(x.view(np.int64)) for x in (short, anchor, span)]
+            yield pa.RecordBatch.from_arrays([_rows(batch, doc, "row_id"), *signed, pa.array(at * 4096 + count)], ["row_id", "short", "anchor", "span", "place"])
+
+    found = common.written(docs.select("row_id", "text").mapInArrow(first_level, "row_id long, short long, anchor long, span long, place long"), "repeat-spans")
+    # What stands once at the first length ends here.
+    again = common.written(found.groupBy("short").agg(F.count("*").alias("n")).where("n > 1").select("short"), "repeat-short")
+    left = common.written(found.join(again, "short").select("row_id", F.xxhash64("short", "anchor").alias("anchor"), "span", "place"), "repeat-left")
     common.dropped(spark, found)
+    common.dropped(spark, again)
+    # Of those, what stands once at the lengths between; then what does at n words, or may in part.
+    each = left.groupBy("anchor", "span").agg(F.count("*").alias("n"))
+    longer = each.groupBy("anchor").agg(F.sum("n").alias("rows"), F.count("*").alias("spans")).where("rows > 1").select("anchor", (F.col("spans") > 1).alias("mixed"))
+    state = each.join(longer, "anchor").select("anchor", "span", (F.col("n") > 1).alias("whole"), "mixed")
+    state = common.written(state, "repeat-state")
+    hits = common.written(left.join(state, ["anchor", "span"]).select("row_id", "anchor", "span", "place", "whole", "mixed"), "repeat-hits")
+    common.dropped(spark, left)
     common.dropped(spark, state)
 
     def second_level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +173,13 @@ def remove_repeats(docs: DataFrame, n: int = WINDOW, text: str = "text", join: s
     join="space": the kept words, joined by one space. join="source": the text
     as it was but for the removed words, with a line break where a cut joins two
     kept passages. A null text has no words (kept text empty, for "source" null);
-    texts of under n words lose none; repeated rows count as places of their own."""
+    texts of under n words lose none; repeated rows count as places of their own;
+    an empty table gives no rows. A column of docs that is named n_words or
+    n_removed is replaced; other names don't matter."""
     spark = docs.sparkSession
     common.prepare(spark)
-    columns = docs.columns
-    rows = docs.withColumnRenamed(text, "_t").select(*[F.col("_t" if c == text else c).alias(f"c{i}") for i, c in enumerate(columns)])
+    columns = common.without(docs, ["n_words", "n_removed"])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
     body = f"c{columns.index(text)}"
     rows = rows.withColumn("row_id", F.xxhash64(*rows.columns))
     names = rows.columns[:-1]
