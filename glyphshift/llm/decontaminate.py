@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 Roles are turned round: the items are the indexed documents, each passage of a
-training text is a query. An item's BM25 weights are divided by the score that
-any passage holding enough of its shingles is sure to reach, so one threshold, 1,
-retrieves every item that verification could accept. A passage whose words can't
-reach it under any item is passed over at once; the others run block-max WAND;
-what is retrieved is verified by its question and answer shingles.
+training text is a query. What is retrieved is verified: a passage holds an item
+if it holds enough of the question's five-word shingles and, in the same passage,
+enough of the answer's word pairs. An item's BM25 weights are divided by the score
+that any passage which verification accepts is sure to reach, so one threshold, 1,
+retrieves every such item. A passage whose words can't reach it under any item is
+passed over at once; the others run block-max WAND.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHINGLE, OVERLAP, K1, B, POSTINGS, BLOCKS = 5, 0.8, 1.2, 0.75, 16, 64
+#: Words of a shingle, and the share of them that must be held, for a question and for an answer.
+SHINGLE, QUESTION, ANSWER_SHINGLE, ANSWER = 5, 0.8, 2, 0.6
+K1, B, POSTINGS, BLOCKS = 1.2, 0.75, 16, 64
 SEGMENT_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -54,19 +57,19 @@ class ItemIndex:
         for item_id, question, answer in items:
             q, a = words_of(question), words_of(answer)
             words = q + a
-            whole = shingles(words)
-            if not whole:
+            if not words:
                 continue
+            asked, said = shingles(q), shingles(a, ANSWER_SHINGLE)
             self.longest = max(self.longest, len(words))
             place = len(self.items)
-            self.items.append((item_id, whole, shingles(q), shingles(a)))
+            self.items.append((item_id, shingles(words), asked, said))
             weight = {}
             for w, tf in Counter(words).items():
                 idf = math.log(1 + (n_items - counts[w] + 0.5) / (counts[w] + 0.5))
                 weight[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean))
             # A word that a passage lacks spoils one shingle at least.
-            lacking = len(whole) - math.ceil(OVERLAP * len(whole) - 1e-9)
-            sure = sum(sorted(weight.values())[: len(weight) - lacking] if lacking else weight.values())
+            lacking = sum(len(g) - math.ceil(share * len(g) - 1e-9) for g, share in ((asked, QUESTION), (said, ANSWER)))
+            sure = sum(sorted(weight.values())[: max(0, len(weight) - lacking)])
             for w, x in weight.items():
                 postings.setdefault(w, []).append((place, x / sure * (1 + 1e-9) if sure > 0 else 1.0))
         self.lists = {}
@@ -157,87 +160,120 @@ class ItemIndex:
         return out
 
     def matches(self, words: list[str], starts: list[int]) -> dict[int, tuple[float, float, float, float, int]]:
-        """item id -> (score, overlap, question's, answer's, first word of the
-        passage) of the best of the screened passages of a text."""
+        """item id -> (score, overlap of the whole, question's, answer's, first
+        word of the passage) of the best of the screened passages of a text."""
         found: dict[int, tuple] = {}
         size = 2 * self.longest
         for a in starts:
             passage = words[a : a + size]
-            held = None
+            held: dict[int, set] = {}
             for place, score in self.retrieve(set(passage)):
-                held = held if held is not None else shingles(passage)
-                item_id, whole, q, answer = self.items[place]
-                # Shingles over the border of question and answer count for the whole alone; short items are compared as they are.
-                short = len(next(iter(whole))) < SHINGLE
-                own = [g for g in whole if g in held or short and _holds(passage, g)]
-                overlap = len(own) / len(whole)
-                if overlap >= OVERLAP - 1e-9:
-                    share = lambda s: sum(g in held or len(g) < SHINGLE and _holds(passage, g) for g in s) / len(s) if s else 1.0
-                    got = (score, overlap, share(q), share(answer), a)
+                item_id, whole, asked, said = self.items[place]
+                question, answer = _share(asked, passage, held), _share(said, passage, held)
+                if question >= QUESTION - 1e-9 and answer >= ANSWER - 1e-9:
+                    got = (score, _share(whole, passage, held), question, answer, a)
                     if item_id not in found or got[:2] > found[item_id][:2]:
                         found[item_id] = got
         return found
 
 
-def _holds(words: list[str], run: tuple[str, ...]) -> bool:
-    return any(tuple(words[i : i + len(run)]) == run for i in range(len(words) - len(run) + 1))
+def _share(wanted: set[tuple[str, ...]], words: list[str], held: dict[int, set]) -> float:
+    """Share of the shingles that the words hold; of none, all. held keeps the
+    words' own shingles by length."""
+    if not wanted:
+        return 1.0
+    n = len(next(iter(wanted)))
+    if n not in held:
+        held[n] = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+    return len(wanted & held[n]) / len(wanted)
+
+
+def _word_counts(rows: DataFrame) -> tuple[DataFrame, int, float]:
+    """(word, n) over all items of rows(id, t, a), the number of items that say
+    anything and their mean length in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(f"{t} {a}") for t, a in zip(batch.column("t").to_pylist(), batch.column("a").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))], ["size", "words"])
+
+    said = rows.select("t", "a").mapInArrow(run, "size long, words array<string>").where("size > 0")
+    n, mean = said.agg(F.count("*"), F.coalesce(F.avg("size"), F.lit(1.0))).first()
+    return said.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), n, mean
 
 
 def index_segments(items: DataFrame, item_id: str = "item_id", text: str = "text", answer: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> Iterator[list[ItemIndex]]:
     """Indexes of segments of items whose texts take about segment_bytes each;
-    in a segment, one index for each range of lengths. The segments share
-    neither words nor statistics, so a set of items of any size is gone through
-    one bounded part at a time."""
+    in a segment, one index for each range of lengths. Word counts and the mean
+    length are those of all items, so scores don't depend on the segments; the
+    driver holds one segment and the counts of its words at a time."""
     body = F.coalesce(F.col(text), F.lit(""))
     after = F.coalesce(F.col(answer), F.lit("")) if answer else F.lit("")
-    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("id"), body.alias("t"), after.alias("a"))
+    rows = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("id"), body.alias("t"), after.alias("a")).distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t") + F.octet_length("a")), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / segment_bytes))
+    known, n_items, mean = _word_counts(rows)
+    known = common.written(known, "item-words") if parts > 1 else known
     for part in range(parts):
         got = [(r["id"], *((r["t"], r["a"]) if answer else question_answer(r["t"]))) for r in rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(parts)) == part).orderBy("id", "t").collect()]
         sized = [(len(words_of(q)) + len(words_of(a)), (i, q, a)) for i, q, a in got]
         sized = [x for x in sized if x[0]]
-        counts = Counter(w for _, (_, q, a) in sized for w in set(words_of(q)) | set(words_of(a)))
-        mean = sum(n for n, _ in sized) / max(1, len(sized))
+        words = {w for _, (_, q, a) in sized for w in words_of(f"{q} {a}")}
+        some = known
+        if parts > 1:
+            some = known.join(items.sparkSession.createDataFrame([(w,) for w in words], "word string"), "word", "left_semi")
+        counts = Counter({r["word"]: r["n"] for r in some.collect()})
         ranges: dict[int, list] = {}
         for n, x in sized:
             ranges.setdefault(max(0, math.ceil(math.log(n / 64, 4))) if n > 64 else 0, []).append(x)
-        yield [ItemIndex(x, counts, len(sized), mean) for _, x in sorted(ranges.items())]
+        yield [ItemIndex(x, counts, n_items, mean) for _, x in sorted(ranges.items())]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """doc_id, item_id, score, overlap, question_overlap, answer_overlap,
-    at_word: a row for each item that a document holds, OVERLAP or more of its
-    word shingles in one passage; other documents have none.
-
-    Null and empty texts or items match nothing; items without an id take no
-    part; items that repeat an id are one item of that id; repeated documents
-    are answered once each, a null doc_id too."""
+def _found(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """contaminated() of docs(doc_id, text_key, text), with text_key."""
     spark = docs.sparkSession
     common.prepare(spark)
+    names = ["doc_id", "text_key", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "at_word"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
     out = None
     for indexes in index_segments(items, **options):
         shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names = ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap", "at_word"]
             for batch in batches:
-                ids, texts = batch.column("doc_id").to_pylist(), [words_of(t) for t in batch.column("text").to_pylist()]
+                ids, texts = list(zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist())), [words_of(t) for t in batch.column("text").to_pylist()]
                 best: list[dict] = [{} for _ in texts]
                 for index in shared.value:
                     for words, starts, own in zip(texts, index.screen(texts), best):
                         for i, got in index.matches(words, starts).items() if starts else ():
                             own[i] = max(own.get(i, got), got)
-                rows = [(d, i, *got) for d, own in zip(ids, best) for i, got in sorted(own.items())]
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+                rows = [(*d, i, *got) for d, own in zip(ids, best) for i, got in sorted(own.items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-        part = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, at_word long")
+        part = docs.mapInArrow(run, "doc_id long, text_key long, item_id long, score double, overlap double, question_overlap double, answer_overlap double, at_word long")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """doc_id, item_id, score, overlap, question_overlap, answer_overlap,
+    at_word: a row for each item that a document holds, QUESTION or more of the
+    question's shingles and ANSWER or more of the answer's in one passage of
+    however long a text; other documents have none. An item without an answer of
+    its own (one sentence) is judged by the question alone; a question without
+    its answer is no match.
+
+    Null and empty texts or items match nothing; items without an id take no
+    part; items that repeat an id are one item of that id; repeated documents
+    are answered once each, a null doc_id too; an empty table on either side
+    gives no rows. Other columns are not read, whatever their names."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    return _found(rows, items, **options).drop("text_key")
+
+
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the documents that hold an item."""
-    bad = common.written(contaminated(docs, items).select("doc_id").distinct(), "leaks")
-    return docs.join(bad.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    """docs, its columns as they are, without the rows whose text holds an item."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    bad = common.written(_found(rows, items).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "leaks")
+    own, pairs = common.set_aside(docs, ["_id", "_key"])
+    return common.given_back(own.join(bad, own["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(own["text"]) == F.col("_key")), "left_anti"), pairs)
