@@ -237,12 +237,14 @@ def codec(path: str, chunks_kept: int = CHUNKS_KEPT) -> Codec:
 
 def encoded(docs: DataFrame, path: str, text: str = "text", chunks_kept: int = CHUNKS_KEPT) -> DataFrame:
     """docs without the text, plus n_tokens long, token_ids (decimal ids joined
-    by one space) and decoded (the text that those ids decode to).
+    by one space) and decoded (the text that those ids decode to); a column of
+    docs of one of these names is replaced.
 
-    Null is as empty: no ids and an empty text. chunks_kept bounds a worker's
+    Null is as empty: no ids and an empty text. Repeated rows are answered once
+    each, an empty table gives no rows. chunks_kept bounds a worker's
     memory (two generations of about 300 bytes each), not what is encoded."""
     common.prepare(docs.sparkSession)
-    kept = [c for c in docs.columns if c != text]
+    kept = [c for c in common.without(docs, ["n_tokens", "token_ids", "decoded"]) if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path, chunks_kept)
@@ -252,7 +254,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", chunks_kept: int = C
                 ids, back, n = zip(*coder.encode(texts)) if texts else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*kept, "n_tokens", "token_ids", "decoded"])
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name != text)
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema if f.name in kept)
     return docs.mapInArrow(run, f"{kinds}n_tokens long, token_ids string, decoded string")
 
 

@@ -31,7 +31,10 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, doc_id: str = "
 
     Shard counts differ by one at most. A null source is a source of its own; a
     null text has size PAD_BYTES and the checksum of no bytes; repeated rows are
-    interchangeable and each placed once; an empty table gives no rows."""
+    interchangeable and each placed once; an empty table gives no rows. Equal
+    texts are rows like any other: by the law of rows a shard's count is all that
+    binds, so copies lie where their ids are dealt, in any shards. Columns other
+    than the three that are named are not read, whatever their names."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), (F.octet_length(body) + PAD_BYTES).cast("long").alias("size"),
@@ -56,8 +59,20 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 7, doc_id: str = "
             .withColumn("slot", (F.col("index") - first).cast("long")).select("doc_id", "size", "text_crc32", "source", "shard", "slot"))
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
-    """Write docs as Parquet under path/shard=N, in slot order inside each file."""
-    keyed = docs.join(placed.select(F.col("doc_id").alias("_id"), "shard", "slot"), docs[doc_id].eqNullSafe(F.col("_id"))).drop("_id")
-    keyed = keyed.withColumn("_piece", F.expr(f"slot div {rows_per_file}"))
-    (keyed.repartition("shard", "_piece").sortWithinPartitions("shard", "slot").drop("_piece").write.partitionBy("shard").parquet(path))
+def write_shards(docs: DataFrame, placed: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", rows_per_file: int = 1_000_000) -> None:
+    """Write docs as Parquet under path/shard=N, in slot order inside each file;
+    placed is what interleave() gives for them. Each row is written once: rows
+    that repeat an id and a text take its places in turn. Columns of docs named
+    shard or slot are replaced."""
+    names = common.without(docs, ["shard", "slot"])
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    id_, body = (F.col(f"c{names.index(c)}") for c in (doc_id, text))
+    keyed = rows.withColumn("_i", id_).withColumn("_c", F.crc32(F.coalesce(body, F.lit("")).cast("binary"))).withColumn("_n", F.octet_length(F.coalesce(body, F.lit(""))) + PAD_BYTES)
+    turn = F.row_number().over(Window.partitionBy("_i", "_c", "_n").orderBy(F.monotonically_increasing_id()))
+    at = placed.select(F.col("doc_id").alias("_i2"), F.col("text_crc32").alias("_c2"), F.col("size").alias("_n2"), "shard", "slot")
+    at = at.withColumn("_k2", F.row_number().over(Window.partitionBy("_i2", "_c2", "_n2").orderBy("shard", "slot")))
+    own = keyed.withColumn("_k", turn)
+    both = own.join(at, own["_i"].eqNullSafe(at["_i2"]) & (own["_c"] == at["_c2"]) & (own["_n"] == at["_n2"]) & (own["_k"] == at["_k2"]))
+    piece = F.expr(f"slot div {rows_per_file}")
+    out = both.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "shard", "slot")
+    out.repartition("shard", piece).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
