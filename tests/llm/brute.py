@@ -109,23 +109,66 @@ def shards(docs: list[tuple], n: int = 40, seed: int = 7) -> list[tuple]:
     return out
 
 
-def leaks(docs: list[tuple], items: list[tuple], n: int = 5, share: float = 0.8) -> set[tuple]:
+def leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
+    """(doc, item) where the document holds 0.8 of the question's five-word runs
+    and 0.6 of the answer's word pairs; the answer is an item's last sentence."""
     words = lambda t: re.findall(r"\w+", (t or "").lower())
-    grams = lambda w: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
-    wanted = {}
+
+    def share(wanted: list[str], own: list[str], n: int) -> float:
+        n = min(n, len(wanted))
+        runs = {tuple(wanted[i : i + n]) for i in range(len(wanted) - n + 1)} if n else set()
+        held = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
+        return sum(r in held for r in runs) / len(runs) if runs else 1.0
+
+    out = set()
     for i, t in items:
-        w = words(t)
-        if i is not None and w:
-            wanted[i] = grams(w) if len(w) >= n else w
+        parts = re.split(r"(?<=[.?!])\s+", (t or "").strip())
+        question, answer = (words(" ".join(parts[:-1])), words(parts[-1])) if len(parts) > 1 else (words(t), [])
+        if i is not None and question + answer:
+            out |= {(d, i) for d, t in docs if share(question, words(t), 5) >= 0.8 and share(answer, words(t), 2) >= 0.6}
+    return out
+
+
+def licences(words: list[str], templates: list[tuple[str, list[str]]], threshold: float) -> list[tuple[str, float, int, int]]:
+    """(licence, Dice, first word, last word): every window of two words or more
+    with every template, the closest first, none over another."""
+    pairs = lambda w: Counter(zip(w, w[1:]))
+    found = []
+    for name, body in templates:
+        own = pairs(body)
+        for a in range(len(words)):
+            for b in range(a + 1, len(words)):
+                run = pairs(words[a : b + 1])
+                d = 2 * sum((run & own).values()) / (sum(run.values()) + sum(own.values()))
+                if d >= threshold - 1e-9 and (words[a], words[a + 1]) in own and (words[b - 1], words[b]) in own:
+                    found.append((-d, a, b, name))
+    taken, out = set(), []
+    for d, a, b, name in sorted(found):
+        if taken.isdisjoint(range(a, b + 1)):
+            taken |= set(range(a, b + 1))
+            out.append((a, name, -d, b))
+    return [(name, d, a, b) for a, name, d, b in sorted(out)]
+
+
+def template_classes(pages: list[list[int]], tags: set[int], support: float = 0.5, large: int = 2, share: float = 0.9) -> set[frozenset]:
+    """Token sets of the valid classes of one host's pages: equal counts on every
+    page; on `share` of the pages that have it a class's tokens come in one order
+    again and again, and no run of it crosses one of another valid class."""
+    vectors: dict[tuple, list[int]] = {}
+    for t in tags:
+        vectors.setdefault(tuple(p.count(t) for p in pages), []).append(t)
     out = set()
-    for d, t in docs:
-        w = words(t)
-        held = grams(w)
-        for i, g in wanted.items():
-            if isinstance(g, list):
-                hit = any(w[k : k + len(g)] == g for k in range(len(w) - len(g) + 1))
-            else:
-                hit = len(g & held) >= share * len(g)
-            if hit:
-                out.add((d, i))
+    for vector, own in vectors.items():
+        if sum(n > 0 for n in vector) < support * len(pages) or len(own) < large:
+            continue
+        orders = Counter()
+        for p in pages:
+            seen = [t for t in p if t in own]
+            if seen:
+                k = len(own)
+                runs = {tuple(seen[i : i + k]) for i in range(0, len(seen), k)}
+                orders[runs.pop() if len(runs) == 1 else None] += 1
+        best, n = orders.most_common(1)[0]
+        if best is not None and n >= share * sum(orders.values()):
+            out.add(frozenset(own))
     return out
