@@ -20,71 +20,73 @@ def to_hiragana(c: Column, marks: bool = False) -> Column:
 
 
 def to_katakana(c: Column) -> Column:
-    return F.translate(c, HIRAGANA, KATAKANA)
+    """Hiragana as katakana, iteration marks too."""
+    return F.translate(c, HIRAGANA + "ゝゞ", KATAKANA + "ヽヾ")
 
 
 def voiced(c: Column) -> Column:
-    """The voiced form of each kana that has one."""
-    return to_katakana_where(c, F.translate(c, UNVOICED, VOICED), F.translate(c, _kata(UNVOICED), _kata(VOICED)))
+    """A kana with the voicing mark, composed where Unicode has such a character;
+    anything else as it is."""
+    kana = c.rlike(r"[\p{IsHiragana}\p{IsKatakana}]")
+    table = F.translate(c, _PLAIN, _VOICED)
+    return F.when(~kana, c).when(table != c, table).otherwise(F.concat(c, F.lit("\u3099")))
 
 
 def _kata(s: str) -> str:
     return "".join(chr(ord(x) + 0x60) for x in s)
 
 
-def to_katakana_where(c: Column, hira: Column, kata: Column) -> Column:
-    return F.when(c.rlike("[ァ-ヶ]"), kata).otherwise(hira)
+#: Characters whose voiced form is one character too, and that form, as Unicode composes them.
+_PLAIN = UNVOICED + "うゝ" + _kata(UNVOICED) + "ウワヰヱヲヽ"
+_VOICED = VOICED + "ゔゞ" + _kata(VOICED) + "ヴヷヸヹヺヾ"
 
 
-def full_sokuon(c: Column) -> Column:
-    return F.translate(c, "っッ", "つツ")
+def full_sokuon(c: Column, wanted: Column | None = None, same: Column | None = None) -> Column:
+    """っ in full size, where that is wanted and both stand for the same historical
+    spelling."""
+    full = F.translate(c, "っッ", "つツ")
+    return full if wanted is None else F.when(wanted & same, full).otherwise(c)
 
 
 def modernized(c: Column) -> Column:
-    """Historical spellings that sound alike now: ゐゑを and the ぢづ pair."""
-    return F.translate(c, "ゐゑをぢづ", "いえおじず")
+    """Historical spellings as they are written now: ゐゑを, the ぢづ pair, and くゎ
+    and ぐゎ at the start."""
+    out = F.translate(c, "ゐゑをぢづ", "いえおじず")
+    return F.regexp_replace(F.regexp_replace(out, "^くゎ", "か"), "^ぐゎ", "が")
 
 
 def half_digits(c: Column) -> Column:
     return F.translate(c, "".join(map(chr, range(0xFF10, 0xFF1A))), "0123456789")
 
 
-def expand_marks(c: Column) -> Column:
-    """ゝゞヽヾ々 replaced by what they repeat: the kana before (voiced for ゞ and
-    ヾ), the ideograph before for 々. A mark at the start, or after what it can't
-    repeat, fails."""
+def expand_marks(c: Column, boundaries: Column | None = None, strict: bool = True) -> Column:
+    """ゝ, ヽ and 々 replaced by what stands before them, ゞ and ヾ by its voiced
+    form. A mark at the start or at one of the boundaries (0-based places where a
+    unit begins) has nothing to repeat, 〳 and 〵 need their span: both fail, or
+    give null if not strict."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
+    marks = ("ゝ", "ヽ", "々", "ゞ", "ヾ")
+    edge = lambda i: i == 0 if boundaries is None else (i == 0) | F.array_contains(boundaries, i)
+    bad = F.exists(F.transform(chars, lambda x, i: x.isin("〳", "〵") | x.isin(*marks) & edge(i)), lambda b: b)
 
-    def step(done: Column, x: Column) -> Column:
-        before = F.right(done, F.lit(1))
-        plain = F.translate(F.translate(before, VOICED + HALF, UNVOICED + "はひふへほ"), _kata(VOICED + HALF), _kata(UNVOICED + "はひふへほ"))
-        out = (
-            F.when(x.isin("ゝ", "ヽ"), plain)
-            .when(x.isin("ゞ", "ヾ"), voiced(plain))
-            .when(x == "々", before)
-            .otherwise(x)
-        )
-        bad = x.isin("ゝ", "ヽ", "ゞ", "ヾ", "々", "〳", "〵") & ((F.length(done) == 0) | x.isin("〳", "〵") | (x == "々") & before.rlike("[ぁ-ヿ]"))
-        return F.when(bad, F.raise_error(F.concat(F.lit("iteration mark without a base: "), c)).cast("string")).otherwise(F.concat(done, out))
-
-    return F.aggregate(chars, F.lit(""), step)
+    def step(s: Column, x: Column) -> Column:
+        new = F.when(x.isin("ゝ", "ヽ", "々"), s["last"]).when(x.isin("ゞ", "ヾ"), voiced(s["last"])).otherwise(x)
+        return F.struct(F.concat(s["out"], new).alias("out"), new.alias("last"))
 
-
-#: Characters whose voiced form is one character too, and that form, as Unicode composes them.
-_PLAIN = UNVOICED + "うゝ" + "".join(chr(ord(x) + 0x60) for x in UNVOICED) + "ウワヰヱヲヽ"
-_VOICED = VOICED + "ゔゞ" + "".join(chr(ord(x) + 0x60) for x in VOICED) + "ヴヷヸヹヺヾ"
+    out = F.aggregate(chars, F.struct(F.lit("").alias("out"), F.lit("").alias("last")), step)["out"]
+    return F.when(bad, F.raise_error(F.concat(F.lit("iteration mark without a base: "), c)).cast("string") if strict else F.lit(None)).otherwise(out)
 
 
-def render_marks(c: Column) -> Column:
+def render_marks(c: Column, boundaries: Column | None = None) -> Column:
     """The second of two equal ideographs as 々, of two equal kana as ゝ or ヽ,
-    and a voiced kana after its unvoiced form as ゞ or ヾ. It looks at the source
-    on both sides, so each place is on its own."""
+    and a voiced kana after its unvoiced form as ゞ or ヾ; none where a unit
+    begins. It looks at the source on both sides, so each place is on its own."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
 
     def mark(x: Column, i: Column) -> Column:
         before = F.get(chars, i - 1)
-        again = (i > 0) & (x == before)
-        voicing = (i > 0) & (x != before) & (x == F.translate(before, _PLAIN, _VOICED))
+        inside = i > 0 if boundaries is None else (i > 0) & ~F.array_contains(boundaries, i)
+        again, voicing = inside & (x == before), inside & (x != before) & (x == F.translate(before, _PLAIN, _VOICED))
         hira, kata = before.rlike(r"\p{IsHiragana}"), before.rlike(r"\p{IsKatakana}")
         return (
             F.when(again & before.rlike(r"\p{IsHan}"), F.lit("々"))
@@ -96,16 +98,18 @@ def render_marks(c: Column) -> Column:
     return F.array_join(F.transform(chars, mark), "")
 
 
-def render_span(c: Column) -> Column:
-    """XX, of two kana or more each, as X〳〵."""
-    half = F.expr("0") + F.floor(F.length(c) / 2).cast("int")
-    same = (F.length(c) >= 4) & (F.length(c) % 2 == 0) & (F.substring(c, F.lit(1), half) == F.substring(c, half + 1, half))
-    return F.when(same, F.concat(F.substring(c, F.lit(1), half), F.lit("〳〵"))).otherwise(c)
+def render_span(c: Column, span: Column) -> Column:
+    """A span that ends the text twice over, the second time as 〳〵."""
+    return F.when(c.endswith(F.concat(span, span)), F.concat(F.substring(c, F.lit(1), F.length(c) - F.length(span)), F.lit("〳〵"))).otherwise(c)
 
 
-def expand_span(c: Column) -> Column:
-    stem = F.regexp_extract(c, "^(.*)〳〵$", 1)
-    return F.when(stem != "", F.concat(stem, stem)).otherwise(c)
+def expand_span(c: Column, span: Column, strict: bool = True) -> Column:
+    """〳〵 at the end replaced by the span that must stand before it; a mark at
+    the start or after something else fails, or gives null if not strict."""
+    head = F.substring(c, F.lit(1), F.length(c) - 2)
+    bad = c.rlike("^[〳〵]") | c.endswith(F.lit("〳〵")) & ~head.endswith(span)
+    fail = F.raise_error(F.concat(F.lit("span mark without its span: "), c)).cast("string") if strict else F.lit(None)
+    return F.when(bad, fail).when(c.endswith(F.lit("〳〵")), F.concat(head, span)).otherwise(c)
 
 
 def abbreviated_long_vowels(c: Column, excluded: tuple[str, ...] = (), shortest: int = 1) -> Column:
@@ -116,7 +120,7 @@ def abbreviated_long_vowels(c: Column, excluded: tuple[str, ...] = (), shortest:
 
     def step(s: Column, p: Column) -> Column:
         run = F.regexp_extract(F.concat(s["open"], p), "[ァ-ヺー]+$", 0)
-        drop = run.rlike("[ァ-ヺー]ー$") & (F.length(run) >= shortest) & ~run.isin(*excluded, "")
+        drop = run.endswith("ー") & (F.length(run) >= shortest) & ~run.isin(*excluded, "")
         kept = F.when(drop, F.substring(p, F.lit(1), F.length(p) - 1)).otherwise(p)
         return F.struct(F.concat(s["out"], kept).alias("out"), F.when(drop, F.lit("")).otherwise(run).alias("open"))
 

@@ -7,8 +7,10 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-KANA, HAN = r"ぁ-ゟ゠-ヿ", r"㐀-鿿々〇\x{20000}-\x{3ffff}"
+KANA, HAN = r"ぁ-ゟ゠-ヿㇰ-ㇿｦ-ﾟ", r"一-鿿㐀-䶿々〆〇ヶ"
+KATAKANA = r"゠-ヿㇰ-ㇿｦ-ﾟ"
 
 
 def contains_kanji(c: Column) -> Column:
@@ -20,11 +22,11 @@ def is_kana(c: Column) -> Column:
 
 
 def is_katakana(c: Column) -> Column:
-    return c.rlike(r"^[゠-ヿ]+$")
+    return c.rlike(f"^[{KATAKANA}]+$")
 
 
 def has_trailing_long_vowel(c: Column) -> Column:
-    return c.rlike(r"[ァ-ヿ]ー$")
+    return is_katakana(c) & c.endswith("ー")
 
 
 def stem_and_okurigana(c: Column) -> tuple[Column, Column]:
@@ -32,7 +34,8 @@ def stem_and_okurigana(c: Column) -> tuple[Column, Column]:
 
 
 def kana_kanji_segments(c: Column) -> Column:
-    return F.split(c, f"(?<=[{KANA}])(?=[{HAN}])|(?<=[{HAN}])(?=[{KANA}])")
+    """Parts of a text; one begins at each ideograph that follows kana."""
+    return F.filter(F.split(c, f"(?<=[{KANA}])(?=[{HAN}])"), lambda x: x != "")
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
@@ -47,6 +50,15 @@ def shared_suffix(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit("")).otherwise(F.right(a, n))
 
 
+def split_listed(items: Column) -> tuple[Column, Column]:
+    """(positive, negative) of an array of items; `-x` is negative, `\\-x` the literal -x."""
+    plain = lambda x: F.when(x.startswith("\\-"), F.substring(x, F.lit(2), F.length(x))).otherwise(x)
+    signed = lambda x: x.startswith("-")
+    pos = F.transform(F.filter(items, lambda x: ~signed(x)), plain)
+    neg = F.transform(F.filter(items, signed), lambda x: plain(F.trim(F.substring(x, F.lit(2), F.length(x)))))
+    return F.filter(pos, lambda x: x != ""), F.filter(neg, lambda x: x != "")
+
+
 def split_signed(c: Column, sep: str = ",") -> tuple[Column, Column]:
     """(positive, negative) items of a list; `-x` is negative, `\\-x` the literal -x."""
     items = F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
@@ -92,27 +104,76 @@ def without_ruby(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "《[^《》]*》", ""), "｜", "")
 
 
+_ANNOTATION = re.compile(rf"(?:(｜)([^《》｜]+)|([{HAN}]+))《([^《》]+)》")
+
+
+def annotations(text: str | None) -> list[dict[str, int]]:
+    """Annotations base《reading》 of a text, with or without the bar, in order:
+    where the base lies in the text without annotations (0-based), and where bar,
+    base and reading lie in this one."""
+    out, added = [], 0
+    for m in _ANNOTATION.finditer(text or ""):
+        size, start = len(m[2] or m[3]), m.start() - added
+        out.append({"base_start": start, "base_end": start + size, "start": m.start(), "end": m.end()})
+        added += m.end() - m.start() - size
+    return out
+
+
+#: As an Arrow UDF: each place depends on all before it.
+annotation_ranges = F.udf(annotations, T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("base_start", "base_end", "start", "end")])), useArrow=True)
+
+
+def to_annotated(ranges: Column, start: Column, end: Column) -> Column:
+    """struct<start, end> of a range of the text without annotations in the text
+    with them: the whole annotations that it touches, else moved by what the ones
+    before it add."""
+    hit = F.filter(ranges, lambda r: (start < r["base_end"]) & (end > r["base_start"]))
+    added = F.aggregate(F.filter(ranges, lambda r: r["base_end"] <= start), F.lit(0), lambda n, r: n + (r["end"] - r["start"]) - (r["base_end"] - r["base_start"]))
+    none = F.size(hit) == 0
+    return F.struct(F.when(none, start + added).otherwise(F.get(hit, F.lit(0))["start"]).alias("start"), F.when(none, end + added).otherwise(F.element_at(hit, -1)["end"]).alias("end"))
+
+
+def bound(c: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def factor_ruby(surface: Column, reading: Column) -> Column:
-    """struct(prefix, base, reading, suffix): kana at both ends of the surface
-    that the reading repeats; base null if the middle isn't all ideographs."""
-    n = common_prefix_length(surface, reading)
-    head = F.when(F.substring(surface, F.lit(1), n).rlike(f"^[{KANA}]*$"), n).otherwise(F.lit(0))
-    rest, said = F.substring(surface, head + 1, F.length(surface)), F.substring(reading, head + 1, F.length(reading))
-    tail = F.length(shared_suffix(rest, said))
-    base, middle = F.substring(rest, F.lit(1), F.length(rest) - tail), F.substring(said, F.lit(1), F.length(said) - tail)
-    ok = base.rlike(f"^[{HAN}]+$") & (middle != "")
-    return F.struct(F.substring(surface, F.lit(1), head).alias("prefix"), F.when(ok, base).alias("base"), F.when(ok, middle).alias("reading"), F.right(rest, tail).alias("suffix"))
-
-
-def render_ruby(surface: Column, reading: Column, mode: Column) -> Column:
-    """plain, whole-explicit, whole-implicit, factored-explicit."""
-    f = factor_ruby(surface, reading)
-    whole = F.concat(F.lit("｜"), surface, F.lit("《"), reading, F.lit("》"))
-    return (
-        F.when(mode == "plain", surface).when(mode == "whole-explicit", whole)
-        .when(mode == "whole-implicit", F.concat(surface, F.lit("《"), reading, F.lit("》")))
-        .when(mode == "factored-explicit", F.when(f["base"].isNull(), whole).otherwise(F.concat(f["prefix"], F.lit("｜"), f["base"], F.lit("《"), f["reading"], F.lit("》"), f["suffix"])))
-    )
+    """struct(prefix, base, reading, suffix): what both ends of the surface share
+    with the reading; base null if the middle isn't all ideographs."""
+    part = lambda c, a, n: F.substring(c, a, n)
+
+    def ends(h: Column) -> Column:
+        rest, said = part(surface, h + 1, F.length(surface)), part(reading, h + 1, F.length(reading))
+        tail = common_prefix_length(F.reverse(rest), F.reverse(said))
+        return bound(F.struct(h.alias("h"), rest.alias("rest"), said.alias("said"), tail.alias("tail")), middle)
+
+    def middle(x: Column) -> Column:
+        base, ruby = part(x["rest"], F.lit(1), F.length(x["rest"]) - x["tail"]), part(x["said"], F.lit(1), F.length(x["said"]) - x["tail"])
+        ok = base.rlike(r"^\p{IsHan}+$") & (ruby != "")
+        return F.struct(part(surface, F.lit(1), x["h"]).alias("prefix"), F.when(ok, base).alias("base"), F.when(ok, ruby).alias("reading"), F.right(x["rest"], x["tail"]).alias("suffix"))
+
+    return bound(common_prefix_length(surface, reading), ends)
+
+
+RUBY_MODES = ("plain", "ruby-whole-explicit", "ruby-whole-implicit", "ruby-components-explicit", "ruby-components-implicit")
+
+
+def render_ruby(surface: Column, reading: Column, mode: Column, historical: Column | bool = True, components: Column | None = None) -> Column:
+    """plain, ruby-whole-explicit, ruby-whole-implicit, ruby-components-explicit,
+    ruby-components-implicit. A historical reading is factored: literal kana at
+    both ends bears none. components array<struct<surface, reading>>: if one has
+    no reading, the whole bears it. Without a reading, the surface alone."""
+    plain = F.concat(surface, F.lit("《"), reading, F.lit("》"))
+    factored = bound(factor_ruby(surface, reading), lambda f: F.coalesce(F.concat(f["prefix"], f["base"], F.lit("《"), f["reading"], F.lit("》"), f["suffix"]), plain))
+    whole = F.when(F.lit(historical), factored).otherwise(plain)
+    parts = F.lit(None).cast("string")
+    if components is not None:
+        full = (F.size(components) > 0) & F.forall(components, lambda x: x["reading"].isNotNull() & (x["reading"] != ""))
+        parts = F.when(full, F.array_join(F.transform(components, lambda x: F.concat(x["surface"], F.lit("《"), x["reading"], F.lit("》"))), ""))
+    bar = F.when(mode.isin("ruby-whole-explicit", "ruby-components-explicit"), "｜").otherwise("")
+    made = F.when(mode.startswith("ruby-components"), F.coalesce(parts, whole)).otherwise(whole)
+    return F.when(reading.isNull() | (reading == "") | ~mode.isin(*RUBY_MODES[1:]), surface).otherwise(F.concat(bar, made))
 
 
 def atoms(c: Column) -> Column:
@@ -125,6 +186,15 @@ def unescaped(c: Column) -> Column:
     return F.regexp_replace(c, r"\\(.)", "$1")
 
 
+def bracketed_forms(example: Column) -> Column:
+    """array<struct<preferred, alternative>> of an example such as 揚（上）がる: the
+    ideographs before the bracket or those inside, with the kana after it."""
+    pattern = r"(\p{IsHan}+)（(\p{IsHan}+)）([ぁ-ゖ]*)"
+    part = lambda n: F.regexp_extract_all(example, F.lit(pattern), F.lit(n))
+    whole = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("k"))
+    return F.transform(whole, lambda x: F.struct(F.concat(x["a"], x["k"]).alias("preferred"), F.concat(x["b"], x["k"]).alias("alternative")))
+
+
 def typed_id(space: Column, key: Column) -> Column:
     return F.concat(space, F.lit(":"), key)
 
@@ -156,13 +226,46 @@ def canonical(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(c)))
 
 
-def basic_form_tail(surface: Column, base: Column, target: Column) -> Column:
-    """Replace a basic form inside an inflected surface and keep its tail: what
-    base and surface share is the stem, the rest of base must end target too."""
-    n = common_prefix_length(surface, base)
-    rest = F.substring(base, n + 1, F.length(base))
-    stem = F.substring(target, F.lit(1), F.length(target) - F.length(rest))
-    return F.when((n > 0) & target.endswith(rest), F.concat(stem, F.substring(surface, n + 1, F.length(surface)))).otherwise(surface)
+#: Endings that an adjective in い takes, in the word that is replaced and in its replacement alike.
+ADJECTIVE_ENDINGS = ("い", "く", "かっ", "けれ", "かれ", "さ")
+
+
+def basic_form_replaced(surface: Column, basic: Column, source: Column, target: Column, adjective: Column) -> Column:
+    """What stands for an inflected surface when its basic form, source, becomes
+    target. Where the basic form is another, target itself. An adjective keeps its
+    ending, or stays if it has none that is known; a verb keeps what follows the
+    stem that source and target don't share, if they share an ending and the
+    surface begins with that stem, else target itself."""
+    shared = shared_suffix(source, target)
+    cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
+    from_, to = cut(source, F.length(shared)), cut(target, F.length(shared))
+    verb = F.when((shared == "") | (from_ == "") | ~surface.startswith(from_), target).otherwise(F.concat(to, F.substring(surface, F.length(from_) + 1, F.length(surface))))
+    a, b = cut(source, 1), cut(target, 1)
+    varied = source.endswith("い") & target.endswith("い") & (a != "") & (b != "") & (source != target)
+    fits = F.filter(F.array(*map(F.lit, ADJECTIVE_ENDINGS)), lambda e: F.concat(a, e) == surface)
+    kept = F.when(varied & (F.size(fits) > 0), F.concat(b, F.get(fits, F.lit(0)))).otherwise(surface)
+    return F.when((source == "") | (target == "") | (basic != source), target).when(adjective, kept).otherwise(verb)
+
+
+#: Rows of godan verbs: the ending of the basic form, those of the a, i, e and o rows, て and た.
+GODAN = {
+    "う": ("わ", "い", "え", "お", "って", "った"), "く": ("か", "き", "け", "こ", "いて", "いた"), "ぐ": ("が", "ぎ", "げ", "ご", "いで", "いだ"),
+    "す": ("さ", "し", "せ", "そ", "して", "した"), "つ": ("た", "ち", "て", "と", "って", "った"), "ぬ": ("な", "に", "ね", "の", "んで", "んだ"),
+    "ぶ": ("ば", "び", "べ", "ぼ", "んで", "んだ"), "む": ("ま", "み", "め", "も", "んで", "んだ"), "る": ("ら", "り", "れ", "ろ", "って", "った"),
+}
+
+
+def surface_variants(source: Column, target: Column, adjective: Column) -> Column:
+    """array<struct<from, to>>: the inflected forms in which a basic form may be
+    met and what stands for each; none if the two don't end alike."""
+    cut = lambda c: F.substring(c, F.lit(1), F.length(c) - 1)
+    last = F.right(source, F.lit(1))
+    rows = F.create_map(*[x for k, v in GODAN.items() for x in (F.lit(k), F.array(F.lit(k), *map(F.lit, v)))])
+    ends = F.when(adjective, F.when(last == "い", F.array(*map(F.lit, ADJECTIVE_ENDINGS)))).otherwise(F.try_element_at(rows, last))
+    ok = (last == F.right(target, F.lit(1))) & (F.length(source) > 1) & (F.length(target) > 1) & ends.isNotNull()
+    made = F.transform(ends, lambda e: F.struct(F.concat(cut(source), e).alias("from"), F.concat(cut(target), e).alias("to")))
+    none = F.array().cast("array<struct<from:string,to:string>>")
+    return F.when(ok, F.array_distinct(F.filter(made, lambda x: x["from"] != x["to"]))).otherwise(none)
 
 
 _MARK = re.compile(r"\$(?:(?P<sign>[$&`'])|<(?P<name>[A-Za-z]\w*)>|(?P<number>\d\d?))")

@@ -14,10 +14,10 @@ def lookup(words: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
 
 
 def admitted_readings(forms: DataFrame, readings: DataFrame) -> DataFrame:
-    """Forms and readings of an entry; a reading restricted to some forms goes
-    with those alone."""
+    """Forms and readings of an entry: a reading restricted to some forms goes
+    with those alone, one of no form in ideographs (nokanji) with kana forms."""
     both = forms.join(readings, "entry")
-    return both.where((F.size("restricted") == 0) | F.array_contains("restricted", F.col("form")))
+    return both.where(((F.size("restricted") == 0) | F.array_contains("restricted", F.col("form"))) & ~(F.col("nokanji") & F.col("kanji")))
 
 
 def compositions(words: DataFrame, parts: DataFrame) -> DataFrame:
@@ -30,43 +30,25 @@ def compositions(words: DataFrame, parts: DataFrame) -> DataFrame:
     return cut.join(a, "left").join(b, "right").where(F.concat("lr", "rr") == F.col("reading")).select("surface", "reading", "left", "right").distinct()
 
 
-def aligned_components(words: DataFrame, components: DataFrame, steps: int = 12) -> DataFrame:
-    """surface, reading, historical: spellings that characters' component
-    readings allow for the whole word, however long it is. A step for each
-    character; states with one remaining reading and spelling are one. After
-    every `steps` characters the states that go on are written to the checkpoint
-    folder, until none is left."""
-    live = words.select("surface", "reading", F.lit("").alias("done"), F.lit(0).alias("said"))
-    whole = None
-    at = 0
-    while True:
-        for _ in range(steps):
-            ends = live.where((F.length("surface") <= at) & (F.col("said") == F.length("reading"))).select("surface", "reading", F.col("done").alias("historical"))
-            whole = ends if whole is None else whole.unionByName(ends)
-            on = live.where(F.length("surface") > at).withColumn("character", F.substring("surface", at + 1, 1))
-            step = on.join(components, "character").where(F.expr("substring(reading, said + 1, length(modern)) = modern"))
-            live = step.select("surface", "reading", F.concat("done", "historical").alias("done"), (F.col("said") + F.length("modern")).alias("said")).distinct()
-            at += 1
-        live = live.checkpoint()
-        if live.isEmpty():
-            return whole.distinct()
-
-
-def resolved(candidates: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """One value: resolved; several: candidates; the whole set is kept either way."""
-    g = candidates.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("_v"))
-    return g.select(*keys, F.when(F.size("_v") == 0, F.lit("unresolved")).when(F.size("_v") == 1, F.lit("resolved")).otherwise(F.lit("candidates")).alias("status"), F.array_join("_v", "|").alias("values"))
-
-
 def contextual(words: DataFrame, relations: DataFrame) -> DataFrame:
     """words(id, surface, viable array<string>) against relations(surface, target,
-    bindings array, preserve): preserved if a preserving one applies; resolved if
-    the only eligible target covers every viable binding; else candidates."""
-    hit = words.join(relations, "surface", "left").withColumn("ok", F.col("target").isNotNull() & ((F.size("bindings") == 0) | F.arrays_overlap("bindings", "viable")))
-    covers = (F.size("bindings") == 0) | (F.size(F.array_except("viable", "bindings")) == 0)
-    g = hit.groupBy("id", "surface").agg(F.bool_or(F.col("ok") & F.col("preserve")).alias("keep"), F.array_sort(F.collect_set(F.when(F.col("ok") & ~F.col("preserve"), F.col("target")))).alias("t"), F.bool_or(F.col("ok") & ~F.col("preserve") & covers).alias("all"))
-    status = F.when(F.coalesce("keep", F.lit(False)), F.lit("preserved")).when(F.size("t") == 0, F.lit("unresolved")).when((F.size("t") == 1) & F.col("all"), F.lit("resolved")).otherwise(F.lit("candidates"))
-    return g.select("id", "surface", status.alias("status"), F.array_join("t", "|").alias("targets"))
+    bindings array, preserve, candidate): preserved if a preserving one is
+    eligible; none without an eligible target; resolved if one target alone is
+    admitted (by a relation that is no candidate) and it covers every viable
+    binding, or holds for all; else candidates. A relation is eligible that names
+    no binding or a viable one."""
+    hit = words.join(relations, "surface", "left")
+    ok = F.coalesce(F.col("target").isNotNull() & ((F.size("bindings") == 0) | F.arrays_overlap("bindings", "viable")), F.lit(False))
+    hit = hit.withColumn("_ok", ok & ~F.col("preserve")).withColumn("_sure", F.col("_ok") & ~F.col("candidate")).withColumn("_keep", ok & F.col("preserve"))
+    g = hit.groupBy("id", "surface", "viable").agg(
+        F.bool_or("_keep").alias("keep"), F.array_sort(F.collect_set(F.when(F.col("_ok"), F.col("target")))).alias("targets"), F.collect_set(F.when(F.col("_sure"), F.col("target"))).alias("sure"),
+        F.bool_or(F.col("_sure") & (F.size("bindings") == 0)).alias("global"), F.flatten(F.collect_set(F.when(F.col("_sure"), F.col("bindings")))).alias("held"),
+    )
+    keep = F.coalesce("keep", F.lit(False))
+    covers = F.coalesce("global", F.lit(False)) | (F.size("viable") > 0) & (F.size(F.array_except("viable", "held")) == 0)
+    status = F.when(keep, F.lit("preserve")).when(F.size("targets") == 0, F.lit("none")).when((F.size("sure") == 1) & covers, F.lit("resolved")).otherwise(F.lit("candidates"))
+    none = F.array().cast("array<string>")
+    return g.select("id", "surface", status.alias("status"), F.when(status == "resolved", F.get("sure", F.lit(0))).alias("target"), F.when(keep, none).otherwise(F.col("targets")).alias("targets"))
 
 
 def preferred(c: DataFrame) -> DataFrame:
@@ -86,33 +68,6 @@ def preferred(c: DataFrame) -> DataFrame:
     return c.select("id", basis.alias("basis"), pick.alias("selected"), F.array_join(F.array_sort("sources"), "|").alias("sources"))
 
 
-def projected(states: DataFrame, rules: list[tuple[str, str, str]], column: str = "surface") -> DataFrame:
-    """Forward projection: rules (id, from, to) in order, each rewriting what the
-    ones before left; first_before keeps the first form before a change."""
-    out, hit = F.col(column), F.array().cast("array<string>")
-    first = F.lit(None).cast("string")
-    for name, a, b in rules:
-        does = F.contains(out, F.lit(a))
-        first = F.when(first.isNull() & does, out).otherwise(first)
-        hit = F.when(does, F.concat(hit, F.array(F.lit(name)))).otherwise(hit)
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return states.select(*states.columns, out.alias("projected"), F.array_join(hit, ",").alias("applied"), first.alias("first_before"))
-
-
-def restored(observed: DataFrame, choices: DataFrame, rules: list[tuple[str, str, str]], cap: int = 256) -> DataFrame:
-    """Hypotheses for observed(word): each character may stand for those that
-    choices(now, before) lists or itself; kept if the forward projection gives
-    the observation back. More than cap hypotheses: none, not some."""
-    opts = choices.groupBy("now").agg(F.array_sort(F.collect_set("before")).alias("befores"))
-    chars = observed.select("word", F.posexplode(F.filter(F.split("word", ""), lambda x: x != "")).alias("i", "now"))
-    rows = chars.join(F.broadcast(opts), "now", "left").withColumn("o", F.array_union(F.array("now"), F.coalesce("befores", F.array().cast("array<string>"))))
-    words = rows.groupBy("word").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "o"))), lambda x: x["o"]).alias("os"))
-    count = F.aggregate("os", F.lit(1).cast("long"), lambda n, o: F.least(n * F.size(o), F.lit(1 << 40)))
-    build = F.aggregate("os", F.array(F.lit("")), lambda acc, o: F.flatten(F.transform(acc, lambda p: F.transform(o, lambda x: F.concat(p, x)))))
-    each = words.withColumn("n", count).where(F.col("n") <= cap).select("word", F.explode(build).alias("before"))
-    return projected(each, rules, "before").where("projected = word").select("word", "before")
-
-
 def numbered(entries: DataFrame) -> DataFrame:
     """key of entries(seq, form, reading): form/reading, with #n where several
     entries share both."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+MOST_RULES = 2_000_000
+
 
 def enabled(rules: DataFrame, profile: str, column: str = "enabled_by") -> DataFrame:
     """Rules that name no profile or this one."""
@@ -34,24 +37,75 @@ def toggled(rules: DataFrame, nodes: DataFrame, depth: int = 20) -> DataFrame:
     return rules.join(state.where("up").select("node"), "node", "left_semi").where(F.coalesce("enabled", F.lit(True)))
 
 
-def ordered(rules: DataFrame, limit: int = 1000) -> DataFrame:
+def kahn(rules: list[tuple], rank) -> list:
+    """Ids of rules(id, dependencies) so that each follows its dependencies; of
+    those that are ready the least rank(id), then id, comes next."""
+    known = {r[0] for r in rules}
+    waits, after = {}, {}
+    for id_, on, *_ in rules:
+        for d in on:
+            if d not in known:
+                raise ValueError(f"rule {id_} depends on {d}, which is missing")
+            after.setdefault(d, []).append(id_)
+        waits[id_] = len(on)
+    ready = [(rank(i), i) for i, n in waits.items() if not n]
+    heapq.heapify(ready)
+    out = []
+    while ready:
+        _, i = heapq.heappop(ready)
+        out.append(i)
+        for d in after.get(i, ()):
+            waits[d] -= 1
+            if not waits[d]:
+                heapq.heappush(ready, (rank(d), d))
+    if len(out) < len(known):
+        raise ValueError(f"rules depend on each other in a circle: {sorted(known - set(out))[:5]}")
+    return out
+
+
+def _table(rules: DataFrame, *columns: str) -> list[tuple]:
+    """A rule table's order is worked out on the driver, from ids and links alone."""
+    n = rules.count()
+    if n > MOST_RULES:
+        raise ValueError(f"{n} rules; an order is worked out for {MOST_RULES} at most")
+    return [tuple(r) for r in rules.select(*columns).collect()]
+
+
+def ordered(rules: DataFrame) -> DataFrame:
     """rules(id, stage, depends_on array) plus position: by stage, then after all
-    dependencies, ties by id. A missing, later-stage or circular dependency
-    fails. Rounds of joins: one for each link of the longest chain."""
-    edges = rules.select("id", "stage", F.explode("depends_on").alias("on"))
-    bad = edges.join(rules.select(F.col("id").alias("on"), F.col("stage").alias("s")), "on", "left").where("s is null or s > stage").limit(1).collect()
-    if bad:
-        raise ValueError(f"rule {bad[0]['id']} depends on {bad[0]['on']}, which is missing or of a later stage")
-    depth = rules.select("id", F.lit(0).alias("depth"))
-    for _ in range(limit):
-        deeper = edges.join(depth.withColumnRenamed("id", "on"), "on").groupBy("id").agg((F.max("depth") + 1).alias("d"))
-        new = depth.join(deeper, "id", "left").select("id", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")).checkpoint()
-        if new.join(depth.withColumnRenamed("depth", "was"), "id").where("depth <> was").isEmpty():
-            break
-        if new.agg(F.max("depth")).first()[0] > edges.select("id").distinct().count():
-            raise ValueError("rules depend on each other in a circle")
-        depth = new
-    return rules.join(depth, "id").orderBy("stage", "depth", "id")
+    dependencies, the least id of the ready ones first. A missing, later-stage or
+    circular dependency fails."""
+    told = _table(rules, "id", F.coalesce("depends_on", F.array()).alias("on"), "stage")
+    stage = {i: s for i, _, s in told}
+    for i, on, s in told:
+        late = [d for d in on if stage.get(d, s) > s]
+        if late:
+            raise ValueError(f"rule {i} depends on {late[0]}, which is of a later stage")
+    order = sorted(kahn(told, stage.__getitem__), key=stage.__getitem__)
+    kind = rules.schema["id"].dataType.simpleString()
+    places = rules.sparkSession.createDataFrame([(i, k) for k, i in enumerate(order)], f"id {kind}, position int")
+    return rules.join(places, "id").orderBy("position")
+
+
+#: Ranks of rule classes in a projection.
+CLASSES = ("diachronic", "phonological", "orthographic", "render")
+
+
+def projection_order(rules: DataFrame, disabled: list[str] = (), only: list[str] | None = None) -> DataFrame:
+    """The active rules(id, class, dependencies array) plus position: topological;
+    of the ready ones the earliest class, then the least id. Circles fail through
+    disabled rules too; a dependency that is not active is no bond."""
+    told = _table(rules, "id", F.coalesce("dependencies", F.array()).alias("on"), "class")
+    known = {i for i, *_ in told}
+    for i in only or ():
+        if i not in known:
+            raise ValueError(f"unknown enabled rule {i}")
+    kahn(told, lambda _: 0)
+    active = {i for i in known if i not in disabled and (only is None or i in only)}
+    rank = {i: CLASSES.index(c) if c in CLASSES else len(CLASSES) for i, _, c in told}
+    order = kahn([(i, [d for d in on if d in active]) for i, on, _ in told if i in active], rank.__getitem__)
+    places = rules.sparkSession.createDataFrame([(i, k) for k, i in enumerate(order)], "id string, position int")
+    return rules.join(places, "id").orderBy("position")
 
 
 def branch_conflicts(rules: DataFrame, key: str = "input", out: str = "output") -> DataFrame:
@@ -72,8 +126,34 @@ def shared_output_enabled(branches: DataFrame) -> DataFrame:
 
 
 def cardinality(source: Column, target: Column) -> Column:
-    side = lambda c: F.when(F.size(c) > 1, F.lit("N")).otherwise(F.lit("1"))
-    return F.concat(side(source), F.lit(":"), side(target))
+    """one_to_one, one_to_many, many_to_one or many_to_many by distinct forms."""
+    a, b = F.size(F.array_distinct(source)) == 1, F.size(F.array_distinct(target)) == 1
+    return F.when(F.size(source) == 0, None).when(a & b, "one_to_one").when(a, "one_to_many").when(b, "many_to_one").otherwise("many_to_many")
+
+
+POLICIES = ("anywhere", "lexical_boundary", "left_boundary", "right_boundary", "whole_lexeme")
+PRODUCTIVE = ("substring_productive", "character_productive")
+
+
+def relation_faults(relations: DataFrame) -> DataFrame:
+    """relations(id, kind, mode, from, to, basis, semantics, applicability) plus
+    faults, the invariants that don't hold, in their order, and cardinality."""
+    kind, mode, basis, said, where_ = (F.col(c) for c in ("kind", "mode", "basis", "semantics", "applicability"))
+    f, t = F.array_sort(F.array_distinct("from")), F.array_sort(F.array_distinct("to"))
+    same, productive = f == t, mode.isin(*PRODUCTIVE)
+    identity, preserve, mapping = kind == "identity", kind == "preserve", kind == "mapping"
+    checks = {
+        "forms_missing": (F.size("from") == 0) | (F.size("to") == 0),
+        "applicability_unknown": where_.isNotNull() & ~where_.isin(*POLICIES), "applicability_not_productive": where_.isNotNull() & ~productive,
+        "block_not_preserve": (mode == "preserve_block") & ~preserve,
+        "identity_without_semantics": identity & said.isNull(), "identity_changes_forms": identity & ~same,
+        "implicit_basis": identity & (said == "implicit") & (basis != "implicit_identity"), "attested_basis": identity & (said == "attested") & (basis != "attested_identity"), "identity_preserves": identity & (said == "preserve"),
+        "preserve_changes_forms": preserve & ~same, "preserve_mode": preserve & (mode != "preserve_block"), "preserve_semantics": preserve & ~said.eqNullSafe("preserve"), "preserve_basis": preserve & (basis != "preserve_exact"),
+        "productive_not_deterministic": productive & (~mapping | (F.size(t) != 1)),
+        "characters_expected": (mode == "character_productive") & (F.exists(f, lambda x: F.length(x) != 1) | (F.length(F.coalesce(F.get(t, F.lit(0)), F.lit(""))) != 1)),
+        "mapping_targets": mapping & (F.size(t) != 1), "semantics_unexpected": said.isNotNull() & ~identity & ~preserve,
+    }
+    return relations.select("*", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()])).alias("faults"), cardinality(F.col("from"), F.col("to")).alias("cardinality"))
 
 
 def violations(checks: dict[str, DataFrame]) -> DataFrame:

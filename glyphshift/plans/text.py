@@ -1,68 +1,147 @@
-"""Queries of the scalar functions: literal cases, joined with a table so that
-input is read, and the corpus."""
+"""Queries of the scalar functions, over words and texts of whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import kana, strings
+from . import inputs as I
 from .registry import query, table, values
 
-_WORDS = "('学校','がっこう'), ('食べる','たべる'), ('ラーメン','らーめん'), ('お茶','おちゃ'), ('ABC','えーびーしー'), ('取り扱い','とりあつかい'), ('コンピューター','こんぴゅーたー'), ('𠮷野家','よしのや')"
-_K = "ぁ-ゟ゠-ヿ"
-_H = "㐀-鿿々〇𠀀-𿿽"
-_HIRA, _KATA = kana.HIRAGANA, kana.KATAKANA
+_W = I.WORDS
 
 
-def _words(spark, sf_dir):
-    return values(spark, _WORDS, "surface, reading").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))  # 5 rows
+def _spelt(script: str, name: str = "s") -> str:
+    return f"{_W}, {name}_ AS (SELECT w, {I.spelt_sql('w', script)} AS s FROM words)"
 
 
-_FROM = f"(VALUES {_WORDS}) w(surface, reading), region"
+def _each(c: str, case: str) -> str:
+    """DuckDB: each character x of c by the expression, joined again."""
+    return f"array_to_string(list_transform({I.chars_sql(c)}, lambda x: {case}), '')"
 
 
-@query(f"SELECT r_regionkey, surface, translate(surface, '{_KATA}', '{_HIRA}') AS hira, translate(reading, '{_HIRA}', '{_KATA}') AS kata, translate(reading, 'っッ', 'つツ') AS full_sokuon, translate(reading, 'ゐゑをぢづ', 'いえおじず') AS modern FROM {_FROM}")
+_FOLD = "CASE WHEN x = 'ヽ' THEN 'ゝ' WHEN x = 'ヾ' THEN 'ゞ' WHEN unicode(x) BETWEEN 12449 AND 12534 THEN chr(unicode(x) - 96) ELSE x END"
+_KATA = "CASE WHEN x = 'ゝ' THEN 'ヽ' WHEN x = 'ゞ' THEN 'ヾ' WHEN unicode(x) BETWEEN 12353 AND 12438 THEN chr(unicode(x) + 96) ELSE x END"
+_NOW = "CASE x WHEN 'ゐ' THEN 'い' WHEN 'ゑ' THEN 'え' WHEN 'を' THEN 'お' WHEN 'ぢ' THEN 'じ' WHEN 'づ' THEN 'ず' ELSE x END"
+
+
+@query(f"""WITH {_spelt(I.OLD)}, m AS (SELECT *, {_each('s', _NOW)} AS now FROM s_)
+SELECT w, {_each('s', _FOLD)} AS hira, {_each('s', _KATA)} AS kata, CASE WHEN length(w) % 2 = 0 AND length(w) % 3 <> 0 THEN replace(replace(s, 'っ', 'つ'), 'ッ', 'ツ') ELSE s END AS full_sokuon,
+CASE WHEN starts_with(now, 'くゎ') THEN 'か' || substring(now, 3) WHEN starts_with(now, 'ぐゎ') THEN 'が' || substring(now, 3) ELSE now END AS modern FROM m""")
 def f1_kana_forms(spark, sf_dir):
-    """F1 F2 F7 F29."""
-    return _words(spark, sf_dir).select("r_regionkey", "surface", kana.to_hiragana(F.col("surface")).alias("hira"), kana.to_katakana(F.col("reading")).alias("kata"), kana.full_sokuon(F.col("reading")).alias("full_sokuon"), kana.modernized(F.col("reading")).alias("modern"))
+    """Syllabaries, full-size sokuon where two flags allow it, and
+    historical spellings as they are written now."""
+    s, n = I.spelt(F.col("w"), I.OLD), F.length("w")
+    return I.words(spark, sf_dir).select("w", kana.to_hiragana(s, marks=True).alias("hira"), kana.to_katakana(s).alias("kata"), kana.full_sokuon(s, n % 2 == 0, n % 3 != 0).alias("full_sokuon"), kana.modernized(s).alias("modern"))
+
+
+_LAST = "regexp_extract(acc, '[^|]*$')"
+_VOICE = "CASE WHEN regexp_matches({0}, '[\\p{{Hiragana}}\\p{{Katakana}}]') THEN nfc_normalize({0} || chr(12441)) ELSE {0} END"
 
 
-@query("SELECT r_regionkey, word, expanded, rendered FROM (VALUES ('かゞ','かが','かゞ'), ('こゝろ','こころ','こゝろ'), ('人々','人人','人々'), ('ああいふ','ああいふ','あゝいふ'), ('はゝ','はは','はゝ')) t(word, expanded, rendered), region")
+@query(f"""WITH {_spelt(I.MARKS)}, e AS (SELECT w, s, CASE WHEN regexp_matches(s, '^[ゝヽ々ゞヾ]') THEN NULL ELSE replace(substring(list_reduce({I.chars_sql('s')},
+  lambda acc, x: acc || '|' || CASE WHEN x IN ('ゝ', 'ヽ', '々') THEN {_LAST} WHEN x IN ('ゞ', 'ヾ') THEN {_VOICE.format(_LAST)} ELSE x END, ''), 2), '|', '') END AS expanded FROM s_),
+r AS (SELECT *, {I.chars_sql("coalesce(expanded, s)")} AS l FROM e)
+SELECT w, expanded, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE
+  WHEN i = 1 OR i % 5 = 1 THEN l[i] WHEN l[i] = l[i - 1] AND regexp_matches(l[i - 1], '\\p{{Han}}') THEN '々'
+  WHEN l[i] = l[i - 1] AND regexp_matches(l[i - 1], '\\p{{Hiragana}}') THEN 'ゝ' WHEN l[i] = l[i - 1] AND regexp_matches(l[i - 1], '\\p{{Katakana}}') THEN 'ヽ'
+  WHEN regexp_matches(l[i - 1], '\\p{{Hiragana}}') AND l[i] = nfc_normalize(l[i - 1] || chr(12441)) THEN 'ゞ' WHEN regexp_matches(l[i - 1], '\\p{{Katakana}}') AND l[i] = nfc_normalize(l[i - 1] || chr(12441)) THEN 'ヾ'
+  ELSE l[i] END), '') AS rendered FROM r""")
 def f4_iteration_marks(spark, sf_dir):
-    """Marks written out and back."""
-    w = values(spark, "('かゞ'), ('こゝろ'), ('人々'), ('ああいふ'), ('はゝ')", "word").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    full = kana.expand_marks(F.col("word"))
-    return w.select("r_regionkey", "word", full.alias("expanded"), kana.render_marks(full).alias("rendered"))
+    """Marks written out (null where one has nothing to repeat), and
+    rendered again in units of five characters."""
+    s = I.spelt(F.col("w"), I.MARKS)
+    full = I.words(spark, sf_dir).select("w", kana.expand_marks(s, strict=False).alias("expanded"), s.alias("s"))
+    body = F.coalesce("expanded", "s")
+    units = F.filter(F.sequence(F.lit(0), F.length(body)), lambda i: i % 5 == 0)
+    return full.select("w", "expanded", kana.render_marks(body, units).alias("rendered"))
 
 
-@query("SELECT r_regionkey, word, CASE WHEN length(word) >= 4 AND length(word) % 2 = 0 AND left(word, length(word) // 2) = right(word, length(word) // 2) THEN left(word, length(word) // 2) || '〳〵' ELSE word END AS rendered FROM (VALUES ('いろいろ'), ('ますます'), ('さくら'), ('はは')) t(word), region")
+@query(f"WITH {_W}, r AS (SELECT w, right(w, 2) AS span FROM words), x AS (SELECT *, CASE WHEN length(w) >= 4 AND ends_with(w, span || span) THEN left(w, length(w) - 2) || '〳〵' ELSE w END AS rendered FROM r) SELECT w, rendered, CASE WHEN ends_with(rendered, '〳〵') THEN left(rendered, length(rendered) - 2) || span ELSE rendered END AS expanded FROM x")
 def f6_span_repetition(spark, sf_dir):
-    """F6."""
-    w = values(spark, "('いろいろ'), ('ますます'), ('さくら'), ('はは')", "word").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    return w.select("r_regionkey", "word", kana.render_span(F.col("word")).alias("rendered")).where(kana.expand_span(F.col("rendered")) == F.col("word"))
+    """a span that ends a word twice over, and back."""
+    r = I.words(spark, sf_dir).withColumn("span", F.right("w", F.lit(2)))
+    r = r.withColumn("rendered", F.when(F.length("w") >= 4, kana.render_span(F.col("w"), F.col("span"))).otherwise(F.col("w")))
+    return r.select("w", "rendered", kana.expand_span(F.col("rendered"), F.col("span")).alias("expanded"))
 
 
-@query(f"SELECT r_regionkey, surface, regexp_matches(surface, '[{_H}]') AS han, regexp_full_match(surface, '[゠-ヿ]+') AS katakana, regexp_matches(surface, '[ァ-ヿ]ー$') AS long_vowel, regexp_extract(surface, '^(.*?)([{_K}]*)$', 1) AS stem, regexp_extract(surface, '^(.*?)([{_K}]*)$', 2) AS okurigana FROM {_FROM}")
+_IS_KANA = "(unicode(x) BETWEEN 12353 AND 12447 OR unicode(x) BETWEEN 12448 AND 12543)"
+
+
+@query(f"""WITH {_spelt(I.MIXED)}, l AS (SELECT w, s, {I.chars_sql('s')} AS l FROM s_), k AS (SELECT *, list_transform(l, lambda x: {_IS_KANA}) AS k FROM l),
+o AS (SELECT *, len(l) - coalesce(list_max(list_filter(range(1, len(l) + 1), lambda i: NOT k[i])), 0) AS tail FROM k)
+SELECT w, list_contains(k, false) AS han, list_sum(list_transform(l, lambda x: CASE WHEN unicode(x) BETWEEN 12448 AND 12543 THEN 0 ELSE 1 END)) = 0 AS katakana,
+list_sum(list_transform(l, lambda x: CASE WHEN unicode(x) BETWEEN 12448 AND 12543 THEN 0 ELSE 1 END)) = 0 AND ends_with(s, 'ー') AS long_vowel, left(s, length(s) - tail) AS stem, right(s, tail) AS okurigana,
+array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 AND k[i - 1] AND NOT k[i] THEN '/' || l[i] ELSE l[i] END), '') AS segments FROM o""")
 def p19_character_classes(spark, sf_dir):
-    """P19 F20."""
-    s = F.col("surface")
+    """Ideographs, katakana alone, a long vowel at its end; the kana
+    that end a word; a new segment at each ideograph after kana."""
+    s = F.col("s")
     stem, okurigana = strings.stem_and_okurigana(s)
-    return _words(spark, sf_dir).select("r_regionkey", "surface", strings.contains_kanji(s).alias("han"), strings.is_katakana(s).alias("katakana"), strings.has_trailing_long_vowel(s).alias("long_vowel"), stem.alias("stem"), okurigana.alias("okurigana"))
+    d = I.words(spark, sf_dir).withColumn("s", I.spelt(F.col("w"), I.MIXED))
+    return d.select("w", strings.contains_kanji(s).alias("han"), strings.is_katakana(s).alias("katakana"), strings.has_trailing_long_vowel(s).alias("long_vowel"), stem.alias("stem"), okurigana.alias("okurigana"), F.array_join(strings.kana_kanji_segments(s), "/").alias("segments"))
+
+
+_MODES = "('plain'), ('ruby-whole-explicit'), ('ruby-whole-implicit'), ('ruby-components-explicit'), ('ruby-components-implicit')"
 
 
-@query("SELECT r_regionkey, surface, mode, expected AS rendered FROM (VALUES ('学校','plain','学校'), ('学校','whole-explicit','｜学校《がっこう》'), ('学校','whole-implicit','学校《がっこう》'), ('食べる','factored-explicit','｜食《た》べる'), ('お茶','factored-explicit','お｜茶《ちゃ》')) t(surface, mode, expected), region")
+@query(f"""WITH {_W}, b AS (SELECT w, {I.spelt_sql('w', I.MIXED)} AS s, {I.spelt_sql('w', I.READ)} AS r FROM words),
+p AS (SELECT *, list_max(list_filter(range(0, least(length(s), length(r)) + 1), lambda i: left(s, i) = left(r, i))) AS p FROM b),
+q AS (SELECT *, list_max(list_filter(range(0, least(length(s), length(r)) - p + 1), lambda i: right(s, i) = right(r, i))) AS q FROM p),
+f AS (SELECT *, substring(s, p + 1, length(s) - p - q) AS target, substring(r, p + 1, length(r) - p - q) AS ruby FROM q),
+g AS (SELECT *, target <> '' AND ruby <> '' AND regexp_full_match(target, '\\p{{Han}}+') AS ok, length(w) % 2 = 0 AS historical FROM f),
+h AS (SELECT *, CASE WHEN ok AND historical THEN left(s, p) || target || '《' || ruby || '》' || right(s, q) ELSE s || '《' || r || '》' END AS whole, array_to_string(list_transform(range(1, length(s) + 1), lambda i: substring(s, i, 1) || '《' || substring(r, i, 1) || '》'), '') AS parts FROM g)
+SELECT w, mode, CASE mode WHEN 'plain' THEN s WHEN 'ruby-whole-explicit' THEN '｜' || whole WHEN 'ruby-whole-implicit' THEN whole
+ WHEN 'ruby-components-explicit' THEN CASE WHEN length(w) % 3 = 0 THEN '｜' || parts ELSE '｜' || whole END ELSE CASE WHEN length(w) % 3 = 0 THEN parts ELSE whole END END AS rendered
+FROM h, (VALUES {_MODES}) m(mode)""")
 def f19_ruby_rendering(spark, sf_dir):
-    """F18 F19 F22."""
-    w = values(spark, "('学校','がっこう','plain'), ('学校','がっこう','whole-explicit'), ('学校','がっこう','whole-implicit'), ('食べる','たべる','factored-explicit'), ('お茶','おちゃ','factored-explicit')", "surface, reading, mode").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    return w.select("r_regionkey", "surface", "mode", strings.render_ruby(F.col("surface"), F.col("reading"), F.col("mode")).alias("rendered"))
+    """Five modes; a historical reading is factored, one by
+    components needs a reading for each of them."""
+    d = I.words(spark, sf_dir).select("w", I.spelt(F.col("w"), I.MIXED).alias("s"), I.spelt(F.col("w"), I.READ).alias("r"))
+    part = F.transform(F.sequence(F.lit(1), F.length("s")), lambda i: F.named_struct(F.lit("surface"), F.substring("s", i, F.lit(1)), F.lit("reading"), F.when(F.length("w") % 3 == 0, F.substring("r", i, F.lit(1)))))
+    mode = F.explode(F.array(*[F.lit(m) for m in ("plain", "ruby-whole-explicit", "ruby-whole-implicit", "ruby-components-explicit", "ruby-components-implicit")]))
+    d = d.select("w", "s", "r", part.alias("parts"), mode.alias("mode"))
+    return d.select("w", "mode", strings.render_ruby(F.col("s"), F.col("r"), F.col("mode"), F.length("w") % 2 == 0, F.col("parts")).alias("rendered"))
 
 
-@query("SELECT r_regionkey, line, explicit, bases, plain FROM (VALUES ('｜今日《きょう》は学校《がっこう》へ','｜今日《きょう》は｜学校《がっこう》へ','今日|学校','今日は学校へ'), ('東京《とうきょう》','｜東京《とうきょう》','東京','東京'), ('なし','なし','','なし')) t(line, explicit, bases, plain), region")
+#: Texts with annotations: each word of eight letters or more bears one, every other has its bar; n counts them.
+_ANNOTATED = f"""{_W}, t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS l FROM documents),
+line AS (SELECT doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN length(l[i]) >= 8 THEN CASE WHEN i % 2 = 0 THEN '｜' ELSE '' END || {I.spelt_sql('l[i]', I.HAN)} || '《' || {I.spelt_sql('l[i]', I.READ)} || '》' ELSE {I.spelt_sql('l[i]', I.READ)} END), 'は') AS line FROM t)"""
+
+
+def _annotated(spark, sf_dir):
+    parts = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    bar = lambda i: F.when(i % 2 == 1, "｜").otherwise("")
+    made = F.transform(parts, lambda x, i: F.when(F.length(x) >= 8, F.concat(bar(i), I.spelt(x, I.HAN), F.lit("《"), I.spelt(x, I.READ), F.lit("》"))).otherwise(I.spelt(x, I.READ)))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(made, "は").alias("line"))
+
+
+_H, _K = "\\p{Han}々〆〇ヶ", "ぁ-ゟ゠-ヿ"
+
+
+@query(f"""WITH {_ANNOTATED}, e AS (SELECT doc_id, regexp_replace(line, '(^|[^｜{_H}])([{_H}]+)《([{_K}]+)》', '\\1｜\\2《\\3》', 'g') AS e FROM line)
+SELECT doc_id, md5(e) AS explicit_md5, len(regexp_extract_all(e, '｜[^《》｜]+《[^《》]+》')) AS n, md5(array_to_string(regexp_extract_all(e, '｜([^《》｜]+)《[^《》]+》', 1), '|')) AS bases_md5, md5(regexp_replace(regexp_replace(e, '《[^《》]*》', '', 'g'), '｜', '', 'g')) AS plain_md5 FROM e""".replace("\\\\", "\\"))
 def f15_ruby_parsing(spark, sf_dir):
-    """F15 F16 W8."""
-    w = values(spark, "('｜今日《きょう》は学校《がっこう》へ'), ('東京《とうきょう》'), ('なし')", "line").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    e = strings.implicit_ruby_to_explicit(F.col("line"))
-    return w.select("r_regionkey", "line", e.alias("explicit"), F.array_join(F.transform(strings.explicit_ruby(e), lambda x: x["base"]), "|").alias("bases"), strings.without_ruby(e).alias("plain"))
+    """Runs of ideographs get the bar of their annotation; bases, and
+    the text without any."""
+    e = _annotated(spark, sf_dir).withColumn("e", strings.implicit_ruby_to_explicit(F.col("line")))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    found = strings.explicit_ruby(F.col("e"))
+    return e.select("doc_id", md5(F.col("e")).alias("explicit_md5"), F.size(found).cast("long").alias("n"), md5(F.array_join(F.transform(found, lambda x: x["base"]), "|")).alias("bases_md5"), md5(strings.without_ruby(F.col("e"))).alias("plain_md5"))
+
+
+@query(f"""WITH {_ANNOTATED}, p AS (SELECT doc_id, regexp_split_to_array(line, '《[^《》]*》') AS l FROM line),
+n AS (SELECT doc_id, len(l) - 1 AS n, length(array_to_string(l, '')) - length(regexp_replace(array_to_string(l, ''), '｜', '', 'g')) AS bars FROM p),
+b AS (SELECT doc_id, line, regexp_replace(regexp_replace(line, '《[^《》]*》', '', 'g'), '｜', '', 'g') AS base FROM line)
+SELECT doc_id, length(base) AS base_length, length(line) - length(base) AS added, CAST(length(line) AS BIGINT) AS last_end FROM b JOIN n USING (doc_id)""")
+def w8_annotation_offsets(spark, sf_dir):
+    """Places of the text without annotations mapped to the annotated one; the
+    last one's end is the end of the line."""
+    d = _annotated(spark, sf_dir)
+    ranges = d.select("doc_id", "line", strings.annotation_ranges(F.col("line")).alias("ranges"))
+    ranges = ranges.withColumn("base", F.length(strings.without_ruby(F.col("line"))))
+    mapped = strings.to_annotated(F.col("ranges"), F.greatest(F.col("base") - 1, F.lit(0)), F.col("base"))
+    return ranges.select("doc_id", F.col("base").cast("long").alias("base_length"), (F.length("line") - F.col("base")).cast("long").alias("added"), mapped["end"].cast("long").alias("last_end"))
 
 
 @query("SELECT doc_id, source, contains(source, '1') AND source <> 'src10' AS matched, CASE WHEN regexp_full_match(source, 'src1.*') THEN 'src1*' WHEN regexp_full_match(source, '.*9') THEN '*9' END AS first FROM documents")
@@ -81,11 +160,16 @@ def f13_replacement_and_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(wild.cast("binary")).alias("wild"), strings.short_id(F.col("lang"), F.col("source")).alias("short_id"), strings.typed_id(F.lit("doc"), F.col("doc_id").cast("string")).alias("typed"), F.md5(F.translate(F.lower(t), "aeiou", "AEIOU").cast("binary")).alias("mapped"))
 
 
-@query("SELECT n_nationkey, '2014/2/3' AS d, '2014年2月3日' AS src, '05' AS digits, 3 AS utf16, 'か゚|き' AS atoms, 'a*b' AS plain FROM nation")
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) || '/' || month(o_orderdate) || '/' || day(o_orderdate) AS d, CAST(o_orderkey AS VARCHAR) AS digits,
+CAST(length(o_orderpriority) + (length(o_orderpriority) - length(replace(o_orderpriority, 'E', ''))) AS BIGINT) AS utf16, CAST(length(o_orderpriority) AS BIGINT) AS n_atoms, replace(o_orderpriority, 'O', '*') AS plain FROM orders""")
 def f47_small_scalars(spark, sf_dir):
-    """F39 F44 F46 F47 and UTF-16 offsets."""
-    lit = F.lit
-    return table(spark, sf_dir, "nation").select("n_nationkey", strings.slashed_dates(lit("2014年2月3日")).alias("d"), lit("2014年2月3日").alias("src"), kana.half_digits(lit("０５")).alias("digits"), strings.utf16_length(lit("𠮷野")).alias("utf16"), F.array_join(strings.atoms(lit("か゚き")), "|").alias("atoms"), strings.unescaped(lit(r"a\*b")).alias("plain"))
+    """F39 F44 F46 F47 and UTF-16 offsets: dates and digits of orders, and their
+    priorities with characters beyond the first plane, combining marks, escapes."""
+    p = F.col("o_orderpriority")
+    date = F.concat(F.year("o_orderdate"), F.lit("年"), F.month("o_orderdate"), F.lit("月"), F.day("o_orderdate"), F.lit("日"))
+    wide = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "".join(map(chr, range(0xFF10, 0xFF1A))))
+    atoms = strings.atoms(F.regexp_replace(p, "E", "か゚"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", strings.slashed_dates(date).alias("d"), kana.half_digits(wide).alias("digits"), strings.utf16_length(F.translate(p, "E", "𠮷")).cast("long").alias("utf16"), F.size(atoms).cast("long").alias("n_atoms"), strings.unescaped(F.regexp_replace(p, "O", r"\\*")).alias("plain"))
 
 
 @query("SELECT doc_id, source, CAST(list_reduce(list_transform(range(1, length(source) + 1), lambda i: CAST(ascii(substring(source, CAST(i AS INTEGER), 1)) AS BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT)) % 7 AS BIGINT) AS pick FROM documents")
@@ -103,20 +187,32 @@ def f17_page_markers(spark, sf_dir):
     return p.join(own, "url", "left").join(F.broadcast(hosts), "host", "left").select("page_id", F.coalesce("own", "theirs", F.lit("｜")).alias("marker"))
 
 
-@query("SELECT r_regionkey, src, alternatives FROM (VALUES ('に[依,因]る','に依る|に因る'), ('a[b[c,d],e]','abc|abd|ae'), ('plain','plain')) t(src, alternatives), region")
+_SIX = "six AS (SELECT doc_id, l FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: x <> '') AS l FROM documents) WHERE len(l) >= 6)"
+
+
+@query(f"""WITH {_SIX} SELECT doc_id, l[1] || l[2] || l[6] || '|' || l[1] || l[3] || l[4] || l[6] || '|' || l[1] || l[3] || l[5] || l[6] || '|-' || l[2] || '|' || l[3] || ',' || l[4] AS alternatives, l[2] AS first_negative FROM six""")
 def f9_bracket_alternatives(spark, sf_dir):
-    """Nesting needs an Arrow UDF."""
+    """Lists with nested alternatives, a negative and an escaped
+    comma, made of each text's first six words."""
     from ..sources import readers
 
-    w = values(spark, "('に[依,因]る'), ('a[b[c,d],e]'), ('plain')", "src").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    return w.select("r_regionkey", "src", F.array_join(F.array_sort(readers.bracket_alternatives_udf("src")), "|").alias("alternatives"))
+    parts = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", parts.alias("l")).where("size(l) >= 6")
+    w = [F.col("l")[i] for i in range(6)]
+    src = F.concat(w[0], F.lit("["), w[1], F.lit(","), w[2], F.lit("["), w[3], F.lit(","), w[4], F.lit("]]"), w[5], F.lit(", -"), w[1], F.lit(", "), w[2], F.lit("\\,"), w[3])
+    made = d.select("doc_id", readers.listed_values_udf(src).alias("v"))
+    return made.select("doc_id", F.array_join("v", "|").alias("alternatives"), F.get(strings.split_listed(F.col("v"))[1], F.lit(0)).alias("first_negative"))
 
 
-@query("SELECT r_regionkey, example, forms FROM (VALUES ('揚（上）がる','上'), ('代（替・換）える','替・換'), ('なし','')) t(example, forms), region")
+@query(f"""WITH {_SIX}, h AS (SELECT doc_id, {I.spelt_sql('l[1]', I.HAN)} AS a, {I.spelt_sql('l[2]', I.HAN)} AS b, {I.spelt_sql('l[3]', I.READ)} AS k, {I.spelt_sql('l[4]', I.HAN)} AS c, {I.spelt_sql('l[5]', I.HAN)} AS d FROM six)
+SELECT doc_id, a || replace(k, 'ー', '') AS preferred, b || replace(k, 'ー', '') AS alternative FROM h UNION ALL SELECT doc_id, c, d FROM h""")
 def f38_bracketed_forms(spark, sf_dir):
-    """Forms that an example gives in brackets."""
-    w = values(spark, "('揚（上）がる'), ('代（替・換）える'), ('なし')", "example").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    return w.select("r_regionkey", "example", F.array_join(F.regexp_extract_all("example", F.lit("（([^）]+)）"), F.lit(1)), "|").alias("forms"))
+    """the form that an example prefers, and the one it gives in brackets."""
+    parts = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: x != "")
+    d = table(spark, sf_dir, "documents").select("doc_id", parts.alias("l")).where("size(l) >= 6")
+    h = lambda i: I.spelt(F.col("l")[i], I.HAN)
+    example = F.concat(h(0), F.lit("（"), h(1), F.lit("）"), F.regexp_replace(I.spelt(F.col("l")[2], I.READ), "ー", ""), F.lit("。"), h(3), F.lit("（"), h(4), F.lit("）。"))
+    return d.select("doc_id", F.explode(strings.bracketed_forms(example)).alias("x")).select("doc_id", "x.preferred", "x.alternative")
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '([a-z]+)(ing|ed|ly)([ .,]|$)', '\1-\2\3', 'g')) AS marked FROM documents")
@@ -125,11 +221,11 @@ def c3_ending_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace("text", "([a-z]+)(ing|ed|ly)([ .,]|$)", "$1-$2$3").cast("binary")).alias("marked"))
 
 
-@query("SELECT r_regionkey, src, short FROM (VALUES ('コンピューター','コンピュータ'), ('サーバーエラー','サーバエラ'), ('バターの味','バターの味'), ('キーを押す','キーを押す'), ('データベース','データベース'), ('ユーザーとメーカー。','ユーザとメーカ。')) t(src, short), region")
+@query(f"WITH {_spelt(I.KATA)} SELECT w, replace(replace(replace(replace(replace(regexp_replace(s || 'の' || s, 'ー(の|$)', '\\1', 'g'), 'ーア', 'ア'), 'ーイ', 'イ'), 'ーウ', 'ウ'), 'ーエ', 'エ'), 'ーオ', 'オ') AS short FROM s_")
 def f30_long_vowel_abbreviation(spark, sf_dir):
-    """F30 P19."""
-    w = values(spark, "('コンピューター'), ('サーバーエラー'), ('バターの味'), ('キーを押す'), ('データベース'), ('ユーザーとメーカー。')", "src").crossJoin(F.broadcast(table(spark, sf_dir, "region").select("r_regionkey")))
-    return w.select("r_regionkey", "src", kana.abbreviated_long_vowels(F.col("src"), ("バター",), 3).alias("short"))
+    """katakana without the long vowel mark at the end of a part."""
+    s = I.spelt(F.col("w"), I.KATA)
+    return I.words(spark, sf_dir).select("w", kana.abbreviated_long_vowels(F.concat(s, F.lit("の"), s)).alias("short"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(text, '([aeiou])(n)', '[\2\1|\0]$', 'g')) AS expanded_md5 FROM documents")

@@ -14,8 +14,7 @@ def rewrite_stream(docs: DataFrame, rules: DataFrame, path: str, checkpoint: str
     run again after a failure replaces what it had written."""
 
     def batch(df: DataFrame, n: int) -> None:
-        decided = matching.arbitrate(df, matching.substring_matches(df, rules))
-        matching.render(df, decided).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        matching.decisions(df, matching.substring_matches(df, rules)).select("doc_id", "rendered").write.mode("overwrite").parquet(f"{path}/batch={n}")
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

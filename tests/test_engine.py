@@ -12,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphshift.functions import kana, strings
-from glyphshift.operators import lexicon as L
 from glyphshift.operators import matching as M
+from glyphshift.operators import readings as RD
 from glyphshift.operators import rules as R
 from glyphshift.plans import registry
 from glyphshift.sources import readers, writers
@@ -47,32 +47,62 @@ def test_entry(spark):
 def decide(spark, text, rules):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     table = spark.createDataFrame(rules, "key string, output string, precedence int, candidate boolean")
-    return docs, M.arbitrate(docs, M.substring_matches(docs, table))
+    m = M.substring_matches(docs, table)
+    return M.decisions(docs, m).first()["rendered"], M.arbitrate(docs, m)
 
 
 @pytest.mark.parametrize("turn", [False, True])
 def test_shifted_overlap_is_never_decided_by_order(spark, turn):
     rules = [("AB", "X", 0, False), ("BC", "Y", 0, False)]
-    docs, d = decide(spark, "ABC", rules[::-1] if turn else rules)
+    made, d = decide(spark, "ABC", rules[::-1] if turn else rules)
     assert {(r["status"], r["reason"]) for r in d.collect()} == {("unresolved", "unresolved_shifted_overlap")}
-    assert M.render(docs, d).first()["rendered"] == "ABC"
+    assert made == "ABC"
 
 
 def test_certain_rule_before_alternatives(spark):
-    docs, d = decide(spark, "装丁", [("装丁", "裝幀", 0, False), ("装丁", "装釘", 0, True), ("装丁", "装幀", 0, True)])
-    assert M.render(docs, d).first()["rendered"] == "裝幀"
+    made, d = decide(spark, "装丁", [("装丁", "裝幀", 0, False), ("装丁", "装釘", 0, True), ("装丁", "装幀", 0, True)])
+    assert made == "裝幀"
     assert sorted(r["reason"] or "" for r in d.collect()) == ["", "candidate_alternative", "candidate_alternative"]
 
 
 def test_conflicting_candidates_stay(spark):
-    docs, d = decide(spark, "ごらん", [("ごらん", "ご覧", 0, True), ("ごらん", "御覧", 0, True)])
-    assert {r["reason"] for r in d.collect()} == {"conflicting_productive_outputs"} and M.render(docs, d).first()["rendered"] == "ごらん"
+    made, d = decide(spark, "ごらん", [("ごらん", "ご覧", 0, True), ("ごらん", "御覧", 0, True)])
+    assert {r["reason"] for r in d.collect()} == {"conflicting_productive_outputs"} and made == "ごらん"
 
 
 def test_longest_and_characters(spark):
     rules = [("学", "學", 0, False), ("円", "圓", 0, False), ("応", "應", 0, False), ("円応", "圓應", 0, False), ("竜", "龍", 0, False), ("宝", "寶", 0, False), ("校", "校", 1, False)]
-    docs, d = decide(spark, "超学校円応竜宝X", rules)
-    assert M.render(docs, d).first()["rendered"] == "超學校圓應龍寶X"
+    assert decide(spark, "超学校円応竜宝X", rules)[0] == "超學校圓應龍寶X"
+
+
+def test_longer_peers_of_high_precedence(spark):
+    made, d = decide(spark, "ABCDEF", [("ABCD", "X", 1, False), ("BC", "Y", 1, False), ("DEF", "Z", 1, False)])
+    assert made == "XEF" and {r["key"]: r["reason"] for r in d.collect()} == {"ABCD": None, "BC": "shadowed_by_longer_high_precedence", "DEF": "outranked_by_overlap"}
+
+
+def test_gates_and_regions():
+    # What an ambiguous gate keeps out leaves its region open, unless something was applied or is open there.
+    status, reason, regions = M.decide([0, 1, 4, 4, 8], [3, 5, 6, 7, 9], list("abcde"), [0] * 5, [False] * 5, ["ambiguous_lexical_boundary", "ambiguous_morphology", None, "crosses_lexical_boundary", None])
+    assert status == ["blocked", "blocked", "applied", "blocked", "applied"] and regions == [(0, 3, ["ambiguous_lexical_boundary"])]
+    # More candidates than the limit in one overlap stay unresolved, one span or several.
+    many = M.decide(list(range(30)), [x + 2 for x in range(30)], ["o"] * 30, [0] * 30, [False] * 30, [None] * 30)
+    assert set(many[0]) == {"unresolved"} and many[2] == [(0, 31, ["unresolved_shifted_overlap"])]
+    same = M.decide([0] * 25, [2] * 25, [str(x) for x in range(25)], [0] * 25, [True] * 25, [None] * 25)
+    assert set(same[1]) == {"conflicting_productive_outputs"}
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_best_selection_by_brute_force(seed):
+    r = random.Random(seed)
+    for _ in range(60):
+        spans = sorted({(s, s + r.randint(1, 4), r.choice("ab")) for s in (r.randint(0, 8) for _ in range(r.randint(1, 7)))})
+        best: list = []
+        for n in range(1 << len(spans)):
+            some = [x for k, x in enumerate(spans) if n >> k & 1]
+            if all(a[1] <= b[0] for a, b in zip(some, some[1:])):
+                best.append((sum(e - s for s, e, _ in some), some))
+        top = [x for c, x in best if c == max(c for c, _ in best)]
+        assert M.best_selection(spans) == (top[0] if len(top) == 1 else None)
 
 
 def test_arbitration_properties(spark):
@@ -93,7 +123,7 @@ def test_arbitration_properties(spark):
         taken = sorted({(x[1], x[2], x[3]) for x in key(d) if x[0] == doc and x[4] == "applied"})
         assert all(a[1] <= b[0] for a, b in zip(taken, taken[1:]))
         grown[doc] = sum(len(o) - (e - s) for s, e, o in taken)
-    for x in M.render(docs, d).collect():
+    for x in M.decisions(docs, m).collect():
         assert x["rendered"] is None if texts[x["doc_id"]] is None else len(x["rendered"]) == len(texts[x["doc_id"]]) + grown[x["doc_id"]]
 
 
@@ -108,13 +138,15 @@ def test_marks_of_voiced_kana_and_katakana(spark):
     assert {r["w"]: r["r"] for r in got} == cases
 
 
-@pytest.mark.parametrize("steps", [1, 4, 12])
-def test_components_of_words_of_any_length(spark, steps):
-    registry.checkpointed(spark)
-    parts = spark.createDataFrame([("学", "がく", "がく"), ("校", "こう", "かう")], "character string, modern string, historical string")
-    words = spark.createDataFrame([("学校" * n, "がくこう" * n) for n in (1, 2, 3, 7)] + [("学校学", "がくこう"), ("", "")], "surface string, reading string")
-    got = {tuple(r) for r in L.aligned_components(words, parts, steps).collect()}
-    assert got == {("学校" * n, "がくこう" * n, "がくかう" * n) for n in (1, 2, 3, 7)} | {("", "", "")}
+def test_components_of_words_of_any_length(spark):
+    parts = spark.createDataFrame([("学", "がく", None, "がく"), ("校", "こう", None, "かう"), ("法", "ほう", None, "はふ"), ("法", "ほう", "仏教用語", "ほふ")], "character string, modern string, context string, historical string")
+    words = spark.createDataFrame([("学校" * n, "がっこう" * n) for n in (1, 2, 30)] + [("学校学", "がくこう"), ("", ""), (None, None), ("学ぶ", "まなぶ"), ("法", "ほう"), ("法被", "はっぴ"), ("法" * 7, "ほう" * 7), ("法" * 6, "ほう" * 6)], "surface string, reading string")
+    got = {r["surface"]: (r["status"], r["spellings"]) for r in RD.reconstructed(words, parts).collect()}
+    assert all(got["学校" * n] == ("resolved", ["がくかう" * n]) for n in (1, 2, 30))
+    assert got["法"] == ("candidates", ["はふ", "ほふ"]) and got["法被"] == ("resolved", ["はっぴ"])
+    assert all(got[w][0] == "none" for w in ("学校学", "", None, "学ぶ", "法" * 7)) and len(got["法" * 6][1]) == 64
+    asked = spark.createDataFrame([("法", "ほう", False, c) for c in (None, "仏教用語", "other")], "surface string, reading string, any_context boolean, context string")
+    assert {r["context"]: r["spellings"] for r in RD.reconstructed(asked, parts).collect()} == {None: ["はふ"], "仏教用語": ["ほふ"], "other": []}
 
 
 def test_ruby_and_dates(spark):
@@ -127,6 +159,15 @@ def test_rule_order_fails_closed(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "id string, stage int, depends_on array<string>")
     good = R.ordered(make([("b", 0, ["a"]), ("a", 0, []), ("c", 1, ["b"])]))
     assert [x["id"] for x in good.collect()] == ["a", "b", "c"]
+    # What becomes ready is taken by its id at once, not by its depth.
+    assert [x["id"] for x in R.ordered(make([("a", 0, []), ("b", 0, ["a"]), ("c", 0, [])])).collect()] == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="later stage"):
+        R.ordered(make([("a", 0, ["b"]), ("b", 1, [])]))
+    rules = spark.createDataFrame([("a", "render", ["z"]), ("z", "diachronic", []), ("m", "diachronic", ["a"])], "id string, class string, dependencies array<string>")
+    order = lambda **o: [x["id"] for x in R.projection_order(rules, **o).collect()]
+    assert order() == ["z", "a", "m"] and order(disabled=["a"]) == ["m", "z"] and order(only=["a"]) == ["a"]
+    with pytest.raises(ValueError):
+        order(only=["nothing"])
     with pytest.raises(ValueError):
         R.ordered(make([("a", 0, ["x"])]))
     with pytest.raises(ValueError):
@@ -143,7 +184,8 @@ def test_readers(spark, tmp_path):
     assert readers.read_quoted_csv(spark, str(tmp_path / "t.csv"), ["a", "b"]).first()["a"] == 'x "q", y'
     with pytest.raises(ValueError):
         readers.read_quoted_csv(spark, str(tmp_path / "t.csv"), ["a", "c"])
-    assert readers.split_delimited(r"a,[b,c]d,e\,f") == ["a", "[b,c]d", r"e\,f"]
+    assert readers.split_delimited(r'a,[b,c]d,e\,f,"g,""h"') == ["a", "[b,c]d", "e,f", 'g,"h']
+    assert readers.listed_values(r"a[b,c[d,e]]f, -g, h\,i, [x, j\-k") == ["abf", "acdf", "acef", "-g", "h,i", "[x, j\\-k"]
     assert readers.bracket_alternatives("に[依,因]る") == ["に依る", "に因る"]
     page = "<table><tr><td>ほう<td>はふ<td>x<td>法</tr><tr><td>y</td><td>報（仏）?</td></tr></table>"
     rows = readers.carried_headings(readers.html_table(spark.createDataFrame([(1, page)], "doc long, html string"))).collect()
