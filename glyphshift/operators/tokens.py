@@ -34,16 +34,6 @@ def applied(tokens: DataFrame, rules: list[tuple[str, int, int, Column]]) -> Dat
     return kept.select("doc_id", F.col("k.start").alias("idx"), "k.rule", (F.col("k.end") - F.col("k.start")).alias("size"))
 
 
-def deinflected(words: DataFrame, endings: DataFrame, base: DataFrame) -> DataFrame:
-    """word, base, form: known bases that a word is an inflection of. endings
-    (suffix, base_suffix, form); suffix lengths are exploded, so both steps are
-    equi joins."""
-    told = [r[0] for r in endings.select(F.length("suffix")).distinct().collect()]  # a rule table
-    cut = words.select("word", F.explode(F.array(*[F.lit(n) for n in told])).alias("n")).where("length(word) > n")
-    cut = cut.select("word", F.expr("left(word, length(word) - n)").alias("stem"), F.expr("right(word, n)").alias("suffix"))
-    return cut.join(endings, "suffix").select("word", F.concat("stem", "base_suffix").alias("base"), "form").join(base.select("base").distinct(), "base").distinct()
-
-
 def boundaries(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
     """candidates(doc_id, start, end, ...) plus gate: allowed where both ends are
     token boundaries, else crosses_lexical_boundary."""

@@ -149,13 +149,6 @@ def k6_compact_roundtrip(spark, sf_dir):
     return compact.join(ids, "source_id").select("doc_id", "source_id", "source")
 
 
-@query("SELECT doc_id, CAST(start AS INTEGER) AS start, CAST(start + 3 AS INTEGER) AS \"end\" FROM (SELECT doc_id, unnest(generate_series(0, 2)) * 5 AS start, length(text) AS n FROM documents) WHERE start + 3 <= n")
-def c33_span_plan(spark, sf_dir):
-    """Explicit, ordered spans that stay inside their text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), F.explode(F.array(F.lit(0), F.lit(5), F.lit(10))).alias("start"))
-    return d.where("start + 3 <= n").select("doc_id", "start", (F.col("start") + 3).alias("end"))
-
-
 @query("SELECT doc_id, rn AS place, item FROM (SELECT l_orderkey AS doc_id, l_partkey AS item, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) AS rn FROM lineitem) WHERE rn BETWEEN 3 AND 4")
 def w12_evidence_pages(spark, sf_dir):
     """The second page of two."""

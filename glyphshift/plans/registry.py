@@ -41,4 +41,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
-from . import audit, graphs, lexicon, rewriting, rules, stages, text, tokens  # noqa: E402, F401
+from . import audit, graphs, inflection, lexicon, rewriting, rules, stages, text, tokens, units  # noqa: E402, F401
