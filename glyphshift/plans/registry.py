@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(spark: SparkSession) -> None:
-    """The cluster names the checkpoint folder; only where it names none (tests)
-    a local one is set."""
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glyphshift-"))
+def checkpointed(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; where it names none, a
+    local one is set if all runs on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="glyphshift-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder for a query's files, where driver and executors both see it."""
+    return f"{checkpointed(spark)}/glyphshift/{name}-{uuid.uuid4().hex}"
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -41,4 +53,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
-from . import audit, graphs, inflection, lexicon, rewriting, rules, stages, text, tokens, units  # noqa: E402, F401
+from . import audit, files, graphs, inflection, lexicon, programs, rewriting, rules, stages, text, tokens, units  # noqa: E402, F401
