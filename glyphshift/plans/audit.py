@@ -10,20 +10,20 @@ from .registry import query, table
 
 @query("SELECT source, CASE WHEN count(DISTINCT lang) = 1 THEN 'exact' ELSE 'candidates' END AS status, string_agg(DISTINCT lang, '|' ORDER BY lang) AS targets, count(DISTINCT doc_id) AS n_refs FROM documents GROUP BY source")
 def a1_claim_index(spark, sf_dir):
-    """A1 A2 A20."""
+    """One target or several for each source."""
     return A.claims(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
 
 
 @query("SELECT s_nationkey AS nation, string_agg(DISTINCT s_name, '|' ORDER BY s_name) AS s_name, count(DISTINCT s_suppkey % 2) > 1 AS conflict FROM supplier GROUP BY s_nationkey")
 def a2_fact_merge(spark, sf_dir):
-    """A2 D1."""
+    """A2: union of what rows of one identity hold; conflict where they disagree."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), "s_name", (F.col("s_suppkey") % 2).alias("basis"))
     return A.merged_facts(s, "nation", ["s_name"], "basis")
 
 
 @query("SELECT source, count(*) AS discovered, count(*) FILTER (toxic = 0 AND quality = 1) AS admitted, count(*) FILTER (toxic = 1) AS excluded, count(*) FILTER (toxic = 0 AND quality = 0) AS ambiguous, count(*) FILTER (toxic IS NULL) AS unclassified FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
 def a4_coverage(spark, sf_dir):
-    """Every record gets one disposition."""
+    """A4 A5: every record gets one disposition."""
     j = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     t, q = F.col("toxic"), F.col("quality")
     return j.groupBy("source").agg(F.count("*").alias("discovered"), F.count_if((t == 0) & (q == 1)).alias("admitted"), F.count_if(t == 1).alias("excluded"), F.count_if((t == 0) & (q == 0)).alias("ambiguous"), F.count_if(t.isNull()).alias("unclassified"))
@@ -31,13 +31,13 @@ def a4_coverage(spark, sf_dir):
 
 @query("SELECT CAST(doc_id AS BIGINT) AS doc_id, 'missing' AS side FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'unexpected' FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)")
 def e2_ledger_difference(spark, sf_dir):
-    """A5 E2 E6."""
+    """In one ledger alone."""
     return A.both_ways(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT CAST(grouping(lang, source) AS INTEGER) AS level, lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
 def a6_summaries(spark, sf_dir):
-    """Several summaries in one pass."""
+    """Several summaries in one pass."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("_documents")
     return spark.sql("SELECT CAST(grouping_id(lang, source) AS INT) AS level, lang, source, count(*) AS n, count(DISTINCT text) AS texts FROM _documents GROUP BY GROUPING SETS ((lang), (source), (lang, source), ())")
 
@@ -58,7 +58,7 @@ def a7_parity_counts(spark, sf_dir):
 
 @query("SELECT atom, n, CAST(row_number() OVER (ORDER BY n DESC, atom) AS INTEGER) AS id FROM (SELECT atom, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS atom FROM documents) WHERE atom <> '' GROUP BY atom)")
 def a8_atom_statistics(spark, sf_dir):
-    """Frequency-ordered ids."""
+    """Frequency-ordered ids."""
     n = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "")).alias("atom")).where("atom <> ''").groupBy("atom").agg(F.count("*").alias("n"))
     from pyspark.sql import Window
 
@@ -67,7 +67,7 @@ def a8_atom_statistics(spark, sf_dir):
 
 @query("SELECT lower(word) AS folded, count(*) AS n, count(DISTINCT word) AS spellings FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY 1 HAVING count(DISTINCT word) > 1")
 def a9_equivalent_spellings(spark, sf_dir):
-    """Groups that present alike."""
+    """Groups that present alike."""
     w = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word"))
     return w.groupBy(F.lower("word").alias("folded")).agg(F.count("*").alias("n"), F.count_distinct("word").alias("spellings")).where("spellings > 1")
 
@@ -80,7 +80,7 @@ def a18_percentiles(spark, sf_dir):
 
 @query("SELECT user_id, event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS delta FROM events")
 def w11_deltas(spark, sf_dir):
-    """W11 W6."""
+    """Differences to the event before."""
     return A.deltas(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", "event_id")
 
 
@@ -95,22 +95,14 @@ def e1_period_difference(spark, sf_dir):
 @query("""WITH a AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), b AS (SELECT l_suppkey AS s, l_linestatus AS m, count(*) AS n FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
 SELECT s, m, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, CASE WHEN a.n IS NULL THEN 'right_only' WHEN b.n IS NULL THEN 'left_only' WHEN a.n = b.n THEN 'same' ELSE 'differs' END AS status FROM a FULL JOIN b USING (s, m)""")
 def j17_reconciliation(spark, sf_dir):
-    """J17 C43 C44."""
+    """Counts on both sides, reconciled."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_linestatus").alias("m"), "l_linenumber")  # noqa: E741
     return A.reconciled(l.where("l_linenumber = 1"), l.where("l_linenumber = 2"), ["s", "m"])
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN count(l_orderkey) = 0 THEN 'unbound' WHEN count(l_orderkey) = 1 THEN 'unique' ELSE 'homograph' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity > 40 GROUP BY o_orderkey")
-def j9_authority_join(spark, sf_dir):
-    """How many authorities a record binds to."""
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_orderkey").alias("id"), F.lit(1).alias("one"))  # noqa: E741
-    g = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).join(l, "id", "left").groupBy("id").agg(F.count("one").alias("n"))
-    return g.select("id", F.when(F.col("n") == 0, "unbound").when(F.col("n") == 1, "unique").otherwise("homograph").alias("status"))
-
-
 @query("SELECT r_name AS rule, count(DISTINCT n_nationkey) AS facts, count(DISTINCT s_suppkey) AS sources, count(l_orderkey) AS uses FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey JOIN lineitem ON l_suppkey = s_suppkey GROUP BY r_name")
 def j18_evidence_chain(spark, sf_dir):
-    """Rule, program, fact, source."""
+    """A chain of joins from rules to uses, counted."""
     t = lambda n: table(spark, sf_dir, n)
     j = t("lineitem").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(t("supplier"), "s_suppkey").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy(F.col("r_name").alias("rule")).agg(F.count_distinct("n_nationkey").alias("facts"), F.count_distinct("s_suppkey").alias("sources"), F.count("l_orderkey").alias("uses"))
@@ -118,7 +110,7 @@ def j18_evidence_chain(spark, sf_dir):
 
 @query("SELECT certainty, count(*) AS n FROM (SELECT CASE WHEN count(*) FILTER (l_returnflag = 'R') > 0 THEN 'unresolved' WHEN count(*) FILTER (l_returnflag = 'A') > 0 THEN 'conditional' WHEN count(*) > 0 THEN 'unique' ELSE 'literal' END AS certainty FROM lineitem GROUP BY l_orderkey) GROUP BY certainty")
 def c31_certainty(spark, sf_dir):
-    """C31 A14."""
+    """Certainty by what became of candidates."""
     f = lambda x: F.count_if(F.col("l_returnflag") == x)
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(A.certainty(F.count("*"), f("R"), f("A")).alias("certainty"))
     return g.groupBy("certainty").agg(F.count("*").alias("n"))
@@ -133,14 +125,14 @@ def c41_ledger_by_rule(spark, sf_dir):
 
 @query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS digest FROM documents")
 def k2_canonical_digest(spark, sf_dir):
-    """Digest of canonical JSON, keys sorted."""
+    """Digest of canonical JSON, keys sorted."""
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")).cast("binary"), 256).alias("digest"))
 
 
 @query("WITH s AS (SELECT DISTINCT source FROM documents), i AS (SELECT source, CAST(dense_rank() OVER (ORDER BY source) AS INTEGER) AS id FROM s) SELECT doc_id, id AS source_id, source FROM documents JOIN i USING (source)")
 def k6_compact_roundtrip(spark, sf_dir):
-    """Interned, and inflated again."""
+    """K6: interned, and inflated again."""
     from pyspark.sql import Window
 
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -162,7 +154,7 @@ def w12_evidence_pages(spark, sf_dir):
 
 @query("WITH g AS (SELECT p_brand AS brand, p_type AS type, count(DISTINCT p_size) AS n FROM part GROUP BY ALL) SELECT brand, count(*) FILTER (n = 1) AS one, count(*) FILTER (n > 1) AS many FROM g GROUP BY brand")
 def a15_reading_inventory(spark, sf_dir):
-    """Surfaces with one reading or several."""
+    """Surfaces with one reading or several."""
     g = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), "p_type").agg(F.count_distinct("p_size").alias("n"))
     return g.groupBy("brand").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") > 1).alias("many"))
 
@@ -172,7 +164,7 @@ now AS (SELECT DISTINCT atom FROM (SELECT unnest(string_split(text, '')) AS atom
 fresh AS (SELECT atom, (SELECT coalesce(max(id), 0) FROM old) + row_number() OVER (ORDER BY atom) AS id, 'live' AS state FROM now WHERE atom NOT IN (SELECT atom FROM old))
 SELECT atom, id, CASE WHEN atom IN (SELECT atom FROM now) THEN 'live' ELSE 'retired' END AS state FROM old UNION ALL SELECT atom, id, state FROM fresh""")
 def c46_symbol_registry(spark, sf_dir):
-    """Ids are never given anew; symbols out of use are retired.
+    """Ids are never given anew; symbols out of use are retired.
     The registry held the characters of benchmark; documents brings those in use."""
     from pyspark.sql import Window
 
@@ -183,7 +175,7 @@ def c46_symbol_registry(spark, sf_dir):
 
 @query("SELECT disposition, reason, count(*) AS n FROM (SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'excluded' WHEN toxic = 1 THEN 'excluded' WHEN quality = 1 THEN 'fact' WHEN quality = 0 THEN 'candidate' ELSE 'unclassified' END AS disposition, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN toxic = 1 THEN 'toxic' WHEN quality = 1 THEN 'labelled' WHEN quality = 0 THEN 'low_quality' ELSE '' END AS reason FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY ALL")
 def c39_dispositions(spark, sf_dir):
-    """Each source record becomes something, or is excluded with a reason."""
+    """Each source record becomes something, or is excluded with a reason."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     c = F.col
     rules = [("excluded", "empty", c("text").isNull() | (F.trim("text") == "")), ("excluded", "toxic", c("toxic") == 1), ("fact", "labelled", c("quality") == 1), ("candidate", "low_quality", c("quality") == 0)]
