@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -203,6 +204,22 @@ def id_parts(c: Column) -> tuple[Column, Column]:
     return F.split_part(c, F.lit(":"), F.lit(1)), F.regexp_replace(c, "^[^:]*:", "")
 
 
+def stable_id_part(c: Column) -> Column:
+    """A text as a part of an id: all but letters, digits and -_.!~*'() as %XX."""
+    out = F.url_encode(c)
+    for coded, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~"), ("%2A", "*")):
+        out = F.replace(out, F.lit(coded), F.lit(plain))
+    return out
+
+
+def _canonical(text: str | None) -> str | None:
+    return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+#: JSON with keys sorted at every depth and no spaces; as an Arrow UDF, for depth has no bound.
+canonical_json = F.udf(_canonical, T.StringType(), useArrow=True)
+
+
 def short_id(*parts: Column, n: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u001f", *parts).cast("binary"), 256), 1, n)
 

@@ -208,3 +208,67 @@ def display_reading(candidates: DataFrame) -> DataFrame:
     g = candidates.groupBy("surface").agg(F.collect_set("reading").alias("all"), F.collect_set(F.when(F.size("priorities") > 0, F.col("reading"))).alias("first"))
     value = F.when(F.size("first") == 1, F.get("first", F.lit(0))).when(F.size("all") == 1, F.get("all", F.lit(0)))
     return g.select("surface", value.alias("value"), F.when(F.size("first") == 1, "priority").when(F.size("all") == 1, "consensus").alias("source"))
+
+
+def sino_applies(origin: Column, resolved: Column, components: Column) -> Column:
+    """Whether a reconstructed sino reading applies to a candidate: it is of sino
+    origin, or the reading is resolved and each component(evidence array) has
+    evidence."""
+    full = (F.size(components) > 0) & F.forall(components, lambda c: F.coalesce(F.size(c["evidence"]), F.lit(0)) > 0)
+    return origin.eqNullSafe("sino") | resolved & F.coalesce(full, F.lit(False))
+
+
+def route_collisions(native: DataFrame, sino: DataFrame) -> DataFrame:
+    """Identities that both routes(identity, reading) claim; there should be none."""
+    return native.select("identity", F.col("reading").alias("native")).join(sino.select("identity", F.col("reading").alias("sino")), "identity")
+
+
+def bound_lexemes(relations: DataFrame, bindings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """relations(id, constraint) with the binding ids of their constraint by
+    bindings(constraint, binding), and (code, id) of what doesn't fit: a constraint
+    without a binding, a binding of no relation's constraint."""
+    told = bindings.groupBy("constraint").agg(sorted_set("binding").alias("bindings"))
+    out = relations.join(told, "constraint", "left").withColumn("bindings", F.coalesce("bindings", F.array().cast("array<string>")))
+    asked = relations.where(F.col("constraint").isNotNull()).select("constraint").distinct()
+    faults = R.violations({"unbound_constraint": asked.join(told, "constraint", "left_anti").withColumnRenamed("constraint", "id"), "unused_binding": bindings.join(asked, "constraint", "left_anti").select(F.col("binding").alias("id")).distinct()})
+    return out, faults
+
+
+def safe_characters(pairs: DataFrame) -> DataFrame:
+    """source, target and exclusion (null where a pair may be applied) of pairs(
+    source, target, evidence array): one character on both sides, not the same, a
+    source of one target alone, with evidence."""
+    known = pairs.groupBy("source").agg(F.count_distinct("target").alias("_n"))
+    one = lambda c: F.length(c) == 1
+    why = F.when(~one("source") | ~one("target"), "not_one_character").when(F.col("source") == F.col("target"), "identity").when(F.col("_n") > 1, "ambiguous_source").when(F.coalesce(F.size("evidence"), F.lit(0)) < 1, "no_evidence")
+    return pairs.join(known, "source").select("source", "target", why.alias("exclusion"))
+
+
+def alternate_hits(segments: DataFrame, keys: DataFrame) -> DataFrame:
+    """segment and key of segments(segment, alternates array) that one of keys(key,
+    contextual) is: any key by the segment itself, one with a context by another
+    spelling of it too; each key once."""
+    own = segments.select("segment", F.col("segment").alias("key"), F.lit(False).alias("_alt"))
+    other = segments.select("segment", F.explode(F.array_distinct("alternates")).alias("key")).where(F.col("key").isNotNull() & (F.col("key") != F.col("segment"))).withColumn("_alt", F.lit(True))
+    return own.unionByName(other).join(keys, "key").where(~F.col("_alt") | F.col("contextual")).select("segment", "key").distinct()
+
+
+def interned(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df with the values of string columns as numbers, and the table (column, id,
+    value) that they stand for; null stays null. Ids go by value, in its order."""
+    from .lexicon import dense_ids
+
+    values_ = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*").where("value is not null").distinct()
+    table = dense_ids(values_, "column", "value")
+    out = df
+    for c in columns:
+        out = out.join(table.where(F.col("column") == c).select(F.col("value").alias(c), F.col("id").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return out.select(*df.columns), table
+
+
+def inflated(compact: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """What interned() was given."""
+    out = compact
+    for c in columns:
+        out = out.join(table.where(F.col("column") == c).select(F.col("id").alias(c), F.col("value").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
+    return out.select(*compact.columns)

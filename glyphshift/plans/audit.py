@@ -49,13 +49,6 @@ def a17_payload(spark, sf_dir):
     return p.rollup(F.col("p_brand").alias("loading"), F.col("p_type").alias("kind")).agg(F.sum("p_size").cast("long").alias("bytes"), F.count("*").alias("sections"))
 
 
-@query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS pass, count(*) FILTER (user_id % 3 = 1) AS fail, count(*) FILTER (user_id % 3 = 2) AS disabled FROM events GROUP BY event_type")
-def a7_parity_counts(spark, sf_dir):
-    """Statuses as columns."""
-    e = table(spark, sf_dir, "events").withColumn("status", F.element_at(F.array(F.lit("pass"), F.lit("fail"), F.lit("disabled")), (F.col("user_id") % 3 + 1).cast("int")))
-    return e.groupBy("event_type").pivot("status", ["pass", "fail", "disabled"]).count().na.fill(0)
-
-
 @query("SELECT atom, n, CAST(row_number() OVER (ORDER BY n DESC, atom) AS INTEGER) AS id FROM (SELECT atom, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS atom FROM documents) WHERE atom <> '' GROUP BY atom)")
 def a8_atom_statistics(spark, sf_dir):
     """Frequency-ordered ids."""
@@ -116,13 +109,6 @@ def c31_certainty(spark, sf_dir):
     return g.groupBy("certainty").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, event AS rule FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN ['r1', 'r2'] ELSE ['r2', 'r3'] END) AS event FROM documents) WHERE event = 'r3'")
-def c41_ledger_by_rule(spark, sf_dir):
-    """Ledger entries that a rule took part in."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("r1"), F.lit("r2"))).otherwise(F.array(F.lit("r2"), F.lit("r3"))).alias("rules"))
-    return d.where(F.array_contains("rules", "r3")).select("doc_id", F.lit("r3").alias("rule"))
-
-
 @query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS digest FROM documents")
 def k2_canonical_digest(spark, sf_dir):
     """Digest of canonical JSON, keys sorted."""
@@ -130,17 +116,6 @@ def k2_canonical_digest(spark, sf_dir):
     return d.select("doc_id", F.sha2(F.to_json(F.struct("doc_id", "lang", "source")).cast("binary"), 256).alias("digest"))
 
 
-@query("WITH s AS (SELECT DISTINCT source FROM documents), i AS (SELECT source, CAST(dense_rank() OVER (ORDER BY source) AS INTEGER) AS id FROM s) SELECT doc_id, id AS source_id, source FROM documents JOIN i USING (source)")
-def k6_compact_roundtrip(spark, sf_dir):
-    """K6: interned, and inflated again."""
-    from pyspark.sql import Window
-
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    ids = d.select("source").distinct().withColumn("source_id", F.dense_rank().over(Window.orderBy("source")))
-    compact = d.join(ids, "source").select("doc_id", "source_id")
-    return compact.join(ids, "source_id").select("doc_id", "source_id", "source")
-
-
 @query("SELECT doc_id, rn AS place, item FROM (SELECT l_orderkey AS doc_id, l_partkey AS item, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS INTEGER) AS rn FROM lineitem) WHERE rn BETWEEN 3 AND 4")
 def w12_evidence_pages(spark, sf_dir):
     """The second page of two."""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import strings
 from ..operators import knowledge as K
 from . import inputs as I
-from .registry import query, table, values
+from .registry import checkpointed, query, table, values
 
 
 def _many(*x):
@@ -184,3 +185,72 @@ def f36_morphology_row(spark, sf_dir):
 def f34_display_reading(spark, sf_dir):
     """the reading that alone has a priority, or is alone."""
     return K.display_reading(table(spark, sf_dir, "part").select(F.col("p_brand").alias("surface"), F.col("p_type").alias("reading"), F.when(F.col("p_size") % 9 == 0, _many("news1")).otherwise(_many()).alias("priorities")))
+
+
+@query("SELECT p_partkey AS id, p_size % 3 = 0 OR (p_size % 2 = 0 AND p_partkey % 4 <> 0) AS applies FROM part")
+def c29_sino_applicability(spark, sf_dir):
+    """By origin, or resolved with evidence for every component."""
+    none = F.array().cast("array<string>")
+    part = lambda e: F.struct(F.when(e, _many("e")).otherwise(none).alias("evidence"))
+    k = F.col("p_partkey")
+    parts = F.array(part(k % 4 != 0), part(F.lit(True)))
+    return table(spark, sf_dir, "part").select(k.alias("id"), K.sino_applies(F.when(F.col("p_size") % 3 == 0, "sino").otherwise("native"), F.col("p_size") % 2 == 0, parts).alias("applies"))
+
+
+@query("SELECT DISTINCT a.s_name AS identity, a.s_nationkey AS native, b.s_suppkey AS sino FROM supplier a JOIN supplier b ON b.s_name = a.s_name WHERE a.s_suppkey % 2 = 0 AND b.s_suppkey % 3 = 0")
+def j22_route_collisions(spark, sf_dir):
+    """Identities that two routes claim."""
+    s = table(spark, sf_dir, "supplier")
+    return K.route_collisions(s.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("identity"), F.col("s_nationkey").alias("reading")), s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("identity"), F.col("s_suppkey").alias("reading")))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'k' || p_size END AS c FROM part), b AS (SELECT 'k' || s_suppkey AS c, 'b' || s_nationkey AS b FROM supplier), g AS (SELECT c, string_agg(DISTINCT b, '|' ORDER BY b) AS b FROM b GROUP BY c)
+SELECT 'bound' AS code, CAST(id AS VARCHAR) AS id, coalesce(g.b, '') AS bindings FROM r LEFT JOIN g USING (c) UNION ALL SELECT 'unbound_constraint', c, '' FROM (SELECT DISTINCT c FROM r WHERE c IS NOT NULL) WHERE c NOT IN (SELECT c FROM b) UNION ALL SELECT DISTINCT 'unused_binding', b, '' FROM b WHERE c NOT IN (SELECT c FROM r WHERE c IS NOT NULL)""")
+def j20_lexical_bindings(spark, sf_dir):
+    """Relations with the bindings of their constraint, and what is left over."""
+    rel = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), F.when(F.col("p_size") % 4 != 0, _id("k", F.col("p_size"))).alias("constraint"))
+    out, faults = K.bound_lexemes(rel, table(spark, sf_dir, "supplier").select(_id("k", F.col("s_suppkey")).alias("constraint"), _id("b", F.col("s_nationkey")).alias("binding")))
+    return out.select(F.lit("bound").alias("code"), "id", F.array_join("bindings", "|").alias("bindings")).unionByName(faults.withColumn("bindings", F.lit("")))
+
+
+@query(f"""WITH {I.WORDS}, p AS (SELECT DISTINCT left(w, 1 + length(w) % 2) AS s, {I.spelt_sql('right(w, 1)', I.HAN)} AS t, length(w) % 3 <> 0 AS e FROM words UNION SELECT DISTINCT left(w, 1), left(w, 1), true FROM words WHERE length(w) = 2),
+g AS (SELECT s, t, bool_or(e) AS e FROM p GROUP BY ALL) SELECT s AS source, t AS target, CASE WHEN length(s) <> 1 THEN 'not_one_character' WHEN s = t THEN 'identity' WHEN count(*) OVER (PARTITION BY s) > 1 THEN 'ambiguous_source' WHEN NOT e THEN 'no_evidence' END AS exclusion FROM g""")
+def c47_safe_characters(spark, sf_dir):
+    """Pairs of characters that may be applied, and why others may not."""
+    w, n = F.col("w"), F.length("w")
+    d = I.words(spark, sf_dir)
+    pairs = d.select(F.left(w, 1 + n % 2).alias("source"), I.spelt(F.right(w, F.lit(1)), I.HAN).alias("target"), (n % 3 != 0).alias("e")).unionByName(d.where(n == 2).select(F.left(w, F.lit(1)).alias("source"), F.left(w, F.lit(1)).alias("target"), F.lit(True).alias("e")))
+    g = pairs.groupBy("source", "target").agg(F.bool_or("e").alias("e")).select("source", "target", F.when(F.col("e"), _many("x")).otherwise(_many()).alias("evidence"))
+    return K.safe_characters(g)
+
+
+@query(f"""WITH {I.WORDS}, s AS (SELECT w AS segment, [upper(w), reverse(w), left(w, length(w) - 1)] AS alts FROM words), k AS (SELECT w AS key, length(w) % 2 = 0 AS c FROM words WHERE length(w) <= 5),
+a AS (SELECT segment, segment AS key, false AS alt FROM s UNION ALL SELECT DISTINCT segment, unnest(alts), true FROM s) SELECT DISTINCT segment, a.key FROM a JOIN k USING (key) WHERE NOT alt OR (c AND segment <> a.key)""")
+def j5_alternate_spellings(spark, sf_dir):
+    """Keys met by other spellings of a segment, where they have a context."""
+    w = F.col("w")
+    d = I.words(spark, sf_dir)
+    segments = d.select(w.alias("segment"), F.array(F.upper(w), F.reverse(w), F.left(w, F.length(w) - 1)).alias("alternates"))
+    return K.alternate_hits(segments, d.where("length(w) <= 5").select(w.alias("key"), (F.length(w) % 2 == 0).alias("contextual")))
+
+
+@query("SELECT doc_id, lang, source FROM documents")
+def k6_compact_roundtrip(spark, sf_dir):
+    """K6: columns interned in one table of values, and inflated again."""
+    checkpointed(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    compact, told = K.interned(d, ["lang", "source"])
+    return K.inflated(compact, told, ["lang", "source"])
+
+
+@query("SELECT event_id, sha256('{' || array_to_string(list_transform(list_sort(json_keys(j)), lambda k: chr(34) || k || chr(34) || ':' || CAST(json_extract(j, '$.' || k) AS VARCHAR)), ',') || '}') AS digest FROM (SELECT event_id, json_object('z', event_id, 'b', event_type, 'a', user_id) AS j FROM events)")
+def f43_canonical_json(spark, sf_dir):
+    """keys sorted at every depth, and the digest of that."""
+    j = F.to_json(F.struct(F.col("event_id").alias("z"), F.col("event_type").alias("b"), F.col("user_id").alias("a")))
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(strings.canonical_json(j).cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT p_partkey AS id, replace(replace(replace(replace(replace(url_encode(p_name || ' (' || p_type || ')~*' || chr(39) || '!é/'), '%28', '('), '%29', ')'), '%2A', '*'), '%27', chr(39)), '%21', '!') AS part FROM part")
+def f42_stable_ids(spark, sf_dir):
+    """texts as parts of ids."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), strings.stable_id_part(F.concat("p_name", F.lit(" ("), "p_type", F.lit(")~*'!é/"))).alias("part"))

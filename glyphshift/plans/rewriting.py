@@ -139,3 +139,13 @@ def j6_access_path_parity(spark, sf_dir):
     hits = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.expr(f"(length(text) - length(replace(text, '{k}', ''))) div {len(k)}").alias("n")) for k in keys]))
     scanned = docs.select(hits.alias("h")).groupBy(F.col("h.key").alias("key")).agg(F.sum("h.n").alias("by_scan"))
     return joined.join(scanned, "key")
+
+
+@query(f"""WITH RECURSIVE {_DECIDED} SELECT d.doc_id, count(*) FILTER (status = 'applied') AS applied, count(*) FILTER (status <> 'applied') AS kept_out FROM decided d WHERE output = 'on' GROUP BY d.doc_id""")
+def c41_ledger_by_rule(spark, sf_dir):
+    """Of the ledger of all decisions, the entries that one rule took part in."""
+    made = M.decisions(*_matches(spark, sf_dir)).select("doc_id", F.arrays_zip("items", "status").alias("x"))
+    own = F.filter("x", lambda e: e["items"]["output"] == "on")
+    n = lambda cond: F.size(F.filter(own, cond)).cast("long")
+    ledger = made.select("doc_id", n(lambda e: e["status"] == "applied").alias("applied"), n(lambda e: e["status"] != "applied").alias("kept_out"))
+    return ledger.where("applied + kept_out > 0")
