@@ -275,3 +275,17 @@ def walked(spans: DataFrame) -> DataFrame:
     grouped = overlap_components(spans).groupBy("doc_id", "component").agg(F.array_sort(F.collect_list(F.struct("start", "end", *[c for c in names if c not in ("start", "end")]))).alias("s"))
     kept = F.when(F.size("s") == 1, F.col("s")).otherwise(greedy(F.col("s")))
     return grouped.select("doc_id", F.explode(kept).alias("k")).select("doc_id", *[F.col(f"k.{c}").alias(c) for c in names])
+
+
+def spans_and_gaps(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, start, end, known: all distinct spans(doc_id, start, end), and as
+    unknown the runs of characters that none of them covers, whole texts without a
+    span too."""
+    own = spans.select("doc_id", "start", "end").distinct()
+    regions = overlap_components(own).groupBy("doc_id", "component").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    at = Window.partitionBy("doc_id").orderBy("start")
+    before = regions.select("doc_id", F.coalesce(F.lag("end").over(at), F.lit(0)).alias("a"), F.col("start").alias("b"))
+    sizes = docs.select("doc_id", F.length(text).alias("n")).where("n > 0")
+    last = sizes.join(regions.groupBy("doc_id").agg(F.max("end").alias("e")), "doc_id", "left").select("doc_id", F.coalesce("e", F.lit(0)).alias("a"), F.col("n").alias("b"))
+    gaps = before.unionByName(last).where("b > a").select("doc_id", F.col("a").alias("start"), F.col("b").alias("end"), F.lit(False).alias("known"))
+    return own.withColumn("known", F.lit(True)).unionByName(gaps)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_RULES = 2_000_000
@@ -125,6 +125,21 @@ def shared_output_enabled(branches: DataFrame) -> DataFrame:
     return branches.groupBy("input", "output").agg(F.bool_or(F.col("eligible") & F.coalesce("enabled", F.lit(True))).alias("on"))
 
 
+def masked(candidates: DataFrame, origins: DataFrame) -> DataFrame:
+    """candidates(key, output, ...) without those whose branch(input, output) is
+    certified by origins(input, output, eligible, enabled) none of which is on;
+    what no origin certifies stays. Nothing is added, reordered or changed."""
+    off = shared_output_enabled(origins).where("not `on`").select(F.col("input").alias("key"), "output")
+    return candidates.join(off, ["key", "output"], "left_anti").select(*candidates.columns)
+
+
+def selection_order(rules: DataFrame, profile: str) -> DataFrame:
+    """rules(id, stage, priority, place, profiles array) that a profile allows, plus
+    position: by stage, highest priority, place and id. No list allows all."""
+    own = rules.where(F.col("profiles").isNull() | F.array_contains("profiles", profile))
+    return own.withColumn("position", F.row_number().over(Window.orderBy("stage", F.col("priority").desc(), "place", "id")))  # a rule table
+
+
 def cardinality(source: Column, target: Column) -> Column:
     """one_to_one, one_to_many, many_to_one or many_to_many by distinct forms."""
     a, b = F.size(F.array_distinct(source)) == 1, F.size(F.array_distinct(target)) == 1

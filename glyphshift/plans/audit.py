@@ -155,3 +155,22 @@ def c39_dispositions(spark, sf_dir):
     c = F.col
     rules = [("excluded", "empty", c("text").isNull() | (F.trim("text") == "")), ("excluded", "toxic", c("toxic") == 1), ("fact", "labelled", c("quality") == 1), ("candidate", "low_quality", c("quality") == 0)]
     return A.dispositions(d, "doc_id", rules).groupBy("disposition", "reason").agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT list(DISTINCT a) AS l FROM (SELECT unnest(string_split(text, '')) AS a FROM benchmark)) SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS BIGINT) AS n, CAST(len(list_filter(string_split(text, ''), lambda c: NOT list_contains(l, c))) AS BIGINT) AS own FROM documents, b WHERE length(text) > 0")
+def f40_symbols(spark, sf_dir):
+    """texts as symbols of a registry, characters outside it as they are, and
+    back without loss."""
+    atoms = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "")).alias("atom")).where("atom <> ''").distinct()
+    empty = spark.createDataFrame([], "atom string, id long")
+    registry = A.updated_registry(empty, atoms)
+    made = A.symbolized(table(spark, sf_dir, "documents"), registry)
+    n = made.select("doc_id", F.size("symbols").cast("long").alias("n"), F.size(F.filter("symbols", lambda s: s["id"].isNull())).cast("long").alias("own"))
+    return A.desymbolized(made, registry).join(n, "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n", "own")
+
+
+@query("SELECT 'missing' AS side, count(*) AS rows FROM (SELECT n_name, n_regionkey FROM nation EXCEPT ALL SELECT n_name, n_regionkey FROM nation WHERE n_nationkey % 4 <> 0) UNION ALL SELECT 'unexpected', count(*) FROM (SELECT n_name FROM nation WHERE n_nationkey < 0)")
+def e6_artifact_equality(spark, sf_dir):
+    """Rows by which an artifact differs from the one that is expected."""
+    n = table(spark, sf_dir, "nation").select("n_name", "n_regionkey", "n_nationkey")
+    return A.table_differences(n.drop("n_nationkey"), n.where("n_nationkey % 4 <> 0").drop("n_nationkey"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching as M
+from ..operators import rules as R
 from .registry import query, table, values
 
 #: key, output, precedence, candidate
@@ -149,3 +150,24 @@ def c41_ledger_by_rule(spark, sf_dir):
     n = lambda cond: F.size(F.filter(own, cond)).cast("long")
     ledger = made.select("doc_id", n(lambda e: e["status"] == "applied").alias("applied"), n(lambda e: e["status"] != "applied").alias("kept_out"))
     return ledger.where("applied + kept_out > 0")
+
+
+@query(f"""WITH {_MATCHES}, spans AS (SELECT DISTINCT doc_id, start, "end" FROM m), covered AS (SELECT DISTINCT doc_id, unnest(range(start, "end")) AS i FROM spans),
+free AS (SELECT d.doc_id, i FROM (SELECT doc_id, unnest(range(0, length(text))) AS i FROM documents) d ANTI JOIN covered c ON c.doc_id = d.doc_id AND c.i = d.i),
+runs AS (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g, i FROM free)
+SELECT doc_id, count(*) FILTER (known) AS n_known, count(*) FILTER (NOT known) AS n_unknown, CAST(sum("end" - start) FILTER (NOT known) AS BIGINT) AS unknown_length, CAST(max("end") AS BIGINT) AS last_end FROM (SELECT doc_id, start, "end", true AS known FROM spans UNION ALL SELECT doc_id, min(i), max(i) + 1, false FROM runs GROUP BY doc_id, g) GROUP BY doc_id""")
+def c7_span_lattice(spark, sf_dir):
+    """All spans that are known, and what lies between as unknown runs."""
+    s = M.spans_and_gaps(*_matches(spark, sf_dir))
+    open_ = ~F.col("known")
+    return s.groupBy("doc_id").agg(F.count_if("known").alias("n_known"), F.count_if(open_).alias("n_unknown"), F.sum(F.when(open_, F.col("end") - F.col("start"))).cast("long").alias("unknown_length"), F.max("end").cast("long").alias("last_end"))
+
+
+@query(f"""WITH RECURSIVE {_DECIDED.replace("JOIN rules USING (key))", "JOIN rules USING (key) WHERE key NOT IN ('an', 'ring'))")} SELECT output, count(*) FILTER (status = 'applied') AS applied FROM decided GROUP BY output HAVING count(*) FILTER (status = 'applied') > 0""")
+def p22_origin_mask(spark, sf_dir):
+    """Candidates whose certified origins are all switched off go before the
+    arbitration; one origin that is on keeps a branch."""
+    docs, m = _matches(spark, sf_dir)
+    origins = values(spark, "('an','on',true,false), ('ring','ryng',false,true), ('th','Þ',true,false), ('th','Þ',true,true), ('the','dhe',true,null)", "input, output, eligible, enabled")
+    d = M.arbitrate(docs, R.masked(m, origins))
+    return d.where("status = 'applied'").groupBy("output").agg(F.count("*").alias("applied"))

@@ -136,3 +136,12 @@ def p16_form_tags(spark, sf_dir):
     tags = F.array_compact(F.array(F.when(size % 7 == 0, "sK"), F.when(size % 3 == 0, "oK"), F.when(size % 5 == 0, "rK")))
     f = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), tags.alias("tags"))
     return f.select("id", R.usable_form(F.col("tags"), ("oK", "sK")).alias("usable"), R.usable_form(F.col("tags")).alias("plain"))
+
+
+@query("SELECT p_partkey AS id, CAST(row_number() OVER (ORDER BY p_partkey % 3, p_size DESC, p_retailprice, p_partkey) AS INTEGER) AS position FROM part WHERE p_size % 4 = 0 OR p_size % 4 = 1")
+def o5_selection_order(spark, sf_dir):
+    """The rules that a profile allows, in the order in which they are tried."""
+    size = F.col("p_size")
+    lists = F.when(size % 4 == 0, F.lit(None).cast("array<string>")).when(size % 4 == 1, F.array(F.lit("plain"))).otherwise(F.array(F.lit("style")))
+    r = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 3).alias("stage"), size.alias("priority"), F.col("p_retailprice").alias("place"), lists.alias("profiles"))
+    return R.selection_order(r, "plain").select("id", "position")
