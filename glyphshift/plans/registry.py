@@ -53,4 +53,4 @@ def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
 
-from . import audit, files, graphs, inflection, knowledge, lexicon, programs, rewriting, rules, stages, text, tokens, units  # noqa: E402, F401
+from . import audit, files, graphs, inflection, knowledge, lexicon, packs, programs, rewriting, rules, stages, text, tokens, units  # noqa: E402, F401
