@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import workers
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -18,10 +21,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with DuckDB SQL for its rows."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+            workers.prepare(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = prepared
         if sql:
             ORACLE_SQL[f.__name__] = sql
-        return f
+        return prepared
 
     return add
 
