@@ -144,3 +144,9 @@ def test_policies_fail_closed(spark):
     for on, off in ((["x"], []), ([], ["x"]), (["b"], [])):
         with pytest.raises(ValueError):
             knowledge.disabled_rules(rules, make(on, off))
+
+
+def test_rules_on_basic_forms_need_no_character_of_theirs_in_the_text():
+    p = plan({"source": "doesbo", "target": "Zoesbo", "match_target": "basic_form"})
+    assert p.run("DOESBO DORA", stages.spaced_tokens) == "ZoesboDORA"
+    assert p.run("DORA EL", stages.spaced_tokens) == "DORA EL"
