@@ -116,12 +116,22 @@ def evaluated(docs: DataFrame, spans: DataFrame, units: DataFrame, text: str = "
 def domain_decision(asked: DataFrame, rows: DataFrame) -> DataFrame:
     """asked(id, surface, domains array) by homophone rows(forms array, historical
     array, tags array): not_found; no_domain_constraint; context_required without
-    a domain; context_miss; matched, with the historical forms and the tags met."""
+    a domain; context_miss; matched, with the historical forms and the tags met.
+
+    Rows are brought down to what a surface has and what each of its tags gives;
+    each distinct surface and set of domains is decided once and told to all that
+    ask it, so no asked row meets the rows of its surface."""
     told = rows.select(F.explode("forms").alias("surface"), "historical", "tags")
-    hit = asked.join(told, "surface", "left")
-    qualified = F.col("tags").isNotNull() & (F.size("tags") > 0)
-    met = qualified & F.arrays_overlap("tags", "domains")
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    g = hit.groupBy("id", "surface", "domains").agg(F.count("tags").alias("n"), F.count_if(qualified).alias("q"), F.count_if(met).alias("m"), union(F.when(met, F.col("historical"))).alias("candidates"), union(F.when(met, F.array_intersect("tags", "domains"))).alias("matched"))
-    status = F.when(F.col("n") == 0, "not_found").when(F.col("q") == 0, "no_domain_constraint").when(F.size("domains") == 0, "context_required").when(F.col("m") == 0, "context_miss").otherwise("matched")
-    return g.select("id", status.alias("status"), "candidates", "matched")
+    known = told.groupBy("surface").agg(F.count("tags").alias("n"), F.count_if(F.size("tags") > 0).alias("q"))
+    forms = told.select("surface", F.explode("tags").alias("_tag"), "historical").groupBy("surface", "_tag").agg(F.collect_set("historical").alias("_h"))
+    distinct = asked.select("surface", "domains").distinct()
+    hit = distinct.select("surface", "domains", F.explode(F.array_distinct("domains")).alias("_tag")).join(forms, ["surface", "_tag"])
+    union = F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_list("_h")))))
+    met = hit.groupBy("surface", "domains").agg(union.alias("candidates"), F.array_sort(F.collect_set("_tag")).alias("matched"))
+    same = lambda a, b: a["surface"].eqNullSafe(b["surface"]) & a["domains"].eqNullSafe(b["domains"])
+    own = distinct.join(known, "surface", "left").alias("a").join(met.alias("b"), ["surface", "domains"], "left")
+    none = F.array().cast("array<string>")
+    status = F.when(F.coalesce("n", F.lit(0)) == 0, "not_found").when(F.col("q") == 0, "no_domain_constraint").when(F.size("domains") == 0, "context_required").when(F.col("matched").isNull(), "context_miss").otherwise("matched")
+    decided = own.select("surface", "domains", status.alias("status"), F.coalesce("candidates", none).alias("candidates"), F.coalesce("matched", none).alias("matched"))
+    ids = asked.select("id", "surface", "domains").distinct()
+    return ids.join(decided, same(ids, decided)).select(ids["id"], "status", "candidates", "matched")

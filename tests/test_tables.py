@@ -161,3 +161,13 @@ def test_a_lexeme_of_many_rows_is_asked_by_many(spark):
     assert got == {("s", "r", 7), ("s", None, None), ("t", "r", None), ("t", None, None)}
     few = rows.where("row in (1, 7)")
     assert {r["row"] for r in knowledge.morphology_row(asked.where("surface = 't'"), few.unionByName(few)).collect()} == {1}
+
+
+def test_a_surface_of_many_rows_is_asked_by_many(spark):
+    """40,000 rows of one surface and 40,000 that ask for it are no pairs."""
+    n = 40_000
+    rows = spark.range(n).selectExpr("array('x') AS forms", "array(concat('h', id % 3)) AS historical", "if(id % 2 = 0, array('law'), array('sea', 'art')) AS tags")
+    asked = spark.range(n).selectExpr("id", "if(id % 5 = 0, 'y', 'x') AS surface", "if(id % 2 = 0, array('law', 'none'), array('none')) AS domains")
+    got = units.domain_decision(asked, rows)
+    assert got.count() == n
+    assert {(r["status"], *r["candidates"], *r["matched"]) for r in got.drop("id").distinct().collect()} == {("not_found",), ("context_miss",), ("matched", "h0", "h1", "h2", "law")}
