@@ -171,3 +171,19 @@ def test_a_surface_of_many_rows_is_asked_by_many(spark):
     got = units.domain_decision(asked, rows)
     assert got.count() == n
     assert {(r["status"], *r["candidates"], *r["matched"]) for r in got.drop("id").distinct().collect()} == {("not_found",), ("context_miss",), ("matched", "h0", "h1", "h2", "law")}
+
+
+def test_lists_of_a_form_are_not_shuffled_with_its_records(spark):
+    """The last join is the one with the lexemes, and nothing is dealt after it."""
+    records = spark.range(300).selectExpr("id", "'lexeme' AS scope", "'admitted' AS disposition", "'form' AS responsibility", "'f' AS surface", "'m' AS modern", "'h' AS historical")
+    lexemes = spark.range(2000).selectExpr("'f' AS form", "concat('x', id) AS lexeme")
+    patterns = spark.createDataFrame([("pattern:h>m",)], "id string")
+    got = knowledge.authority_join(records, lexemes, patterns, "|")
+    assert {len(r["targets"].split("|")) for r in got.collect()} == {2000}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan_ = knowledge.authority_join(records, lexemes, patterns)._jdf.queryExecution().optimizedPlan().toString()
+        outer = [line for line in plan_.splitlines() if "Join LeftOuter" in line]
+        assert "surface" in outer[0] and "pattern" in outer[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
