@@ -175,7 +175,8 @@ def test_a_surface_of_many_rows_is_asked_by_many(spark):
 
 def test_lists_of_a_form_are_not_shuffled_with_its_records(spark):
     """The last join is the one with the lexemes, and nothing is dealt after it."""
-    records = spark.range(300).selectExpr("id", "'lexeme' AS scope", "'admitted' AS disposition", "'form' AS responsibility", "'f' AS surface", "'m' AS modern", "'h' AS historical")
+    either = lambda a, b, name: f"if(id < 0, '{a}', '{b}') AS {name}"
+    records = spark.range(300).selectExpr("id", either("symbol", "lexeme", "scope"), either("x", "admitted", "disposition"), either("historical_kana_sino", "form", "responsibility"), either("g", "f", "surface"), either("n", "m", "modern"), either("k", "h", "historical"))
     lexemes = spark.range(2000).selectExpr("'f' AS form", "concat('x', id) AS lexeme")
     patterns = spark.createDataFrame([("pattern:h>m",)], "id string")
     got = knowledge.authority_join(records, lexemes, patterns, "|")
@@ -187,3 +188,13 @@ def test_lists_of_a_form_are_not_shuffled_with_its_records(spark):
         assert "surface" in outer[0] and "pattern" in outer[1]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_restoration_takes_facts_of_any_number(spark):
+    """More facts than a table that is sent may have rows."""
+    rules = spark.createDataFrame([("z", "orthographic", "reading", ["ぢ", "じ"], ["じ"], False, "many_to_one", [])], "id string, class string, channel string, `from` array<string>, `to` array<string>, lossless boolean, lossiness string, dependencies array<string>")
+    facts = spark.range(P.MOST_SENT + 2).selectExpr("concat('f', id) AS id", "if(id = 1, 'form_relation', 'historical_reading') AS kind", "concat('s', id) AS surface", "concat('r', id) AS reading", "if(id = 1, 't', null) AS target", "array(concat('l', id)) AS lexemes")
+    asked = spark.createDataFrame([("s7", "r", ["l7"]), ("t", "x", ["l1"]), ("none", "はなじ", []), (None, "x", [])], "surface string, reading string, lexemes array<string>")
+    got = {r["surface"]: (r["status"], r["surfaces"], r["readings"]) for r in P.restored(asked, rules, facts).collect()}
+    assert got["s7"] == ("resolved", ["s7"], ["r7"]) and got["t"] == ("resolved", ["s1"], ["x"])
+    assert got["none"] == ("candidates", ["none", "none"], ["はなじ", "はなぢ"]) and got[None][0] == "unresolved"
