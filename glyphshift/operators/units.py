@@ -4,10 +4,16 @@ its candidates' counts, and never more than its own candidates."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexicon as L
+from . import workers
 
 
 def native_lookup(words: DataFrame, exact: DataFrame, ambiguous: DataFrame) -> DataFrame:
@@ -82,35 +88,114 @@ def span_faults(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFr
     return joined.select("doc_id", "start", "end", bad.alias("fault")).where("fault is not null")
 
 
+_SPANS = "array<struct<start:int,end:int,protected:boolean>>"
+
+
+def _plans_of(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int, bool]]]]:
+    """(text, spans in their order) of each row."""
+    lists = batch.column("spans")
+    flat = lists.flatten()
+    each = list(zip(*(flat.field(c).to_pylist() for c in ("start", "end", "protected")))) if len(flat) else []
+    at = 0
+    for text, size in zip(batch.column("text").to_pylist(), pc.list_value_length(lists).fill_null(0).to_pylist()):
+        yield text, sorted(each[at : at + size], key=lambda x: x[:2])
+        at += size
+
+
+def evaluated_plans(plans: DataFrame, units: DataFrame) -> DataFrame:
+    """evaluated() of plans(doc_id, text, spans array<struct<start, end,
+    protected>>): a text with its plan in one row.
+
+    A text is cut in one pass. Each distinct word of a text asks the units once, and
+    what they say comes back to the text's row; a text never leaves it, and no place
+    of it becomes a row."""
+    workers.prepare(plans.sparkSession)
+    kind = plans.schema["doc_id"].dataType.simpleString()
+    plans = plans.select("doc_id", "text", F.col("spans").cast(_SPANS).alias("spans"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                owners, surfaces, kept = [], [], []
+                for n, (text, spans) in enumerate(_plans_of(part)):
+                    own = {(text[a:b], p) for a, b, p in spans} if text is not None else ()
+                    owners += [n] * len(own)
+                    surfaces += [x for x, _ in own]
+                    kept += [p for _, p in own]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owners, pa.int32())), pa.array(surfaces, pa.string()), pa.array(kept, pa.bool_())], ["doc_id", "surface", "protected"])
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("told")
+            flat = lists.flatten()
+            each = list(zip(*(flat.field(c).to_pylist() for c in ("surface", "protected", "kind", "disposition", "rendered")))) if len(flat) else []
+            at, made = 0, []
+            for (text, spans), size in zip(_plans_of(batch), pc.list_value_length(lists).fill_null(0).to_pylist()):
+                told = {x[:2]: x[2:] for x in each[at : at + size]}
+                at += size
+                if text is None:
+                    made.append((None, 0, 0, 0, 0, 0, None))
+                    continue
+                pieces, done, gaps, n = [], 0, 0, [0] * 5
+                for a, b, protected in spans:
+                    if a > done:
+                        pieces.append(text[done:a])
+                        gaps += 1
+                    word, done = text[a:b], b
+                    kind, disposition, rendered = told.get((word, protected), ("unresolved", None, None))
+                    auto = disposition == "AUTO"
+                    pieces.append(rendered if auto and kind == "resolved" else word)
+                    n[0] += kind == "resolved"
+                    n[1] += auto
+                    n[2] += kind == "candidates" or disposition == "CANDIDATES"
+                    n[3] += kind == "unresolved"
+                    n[4] += kind == "protected" or disposition == "PRESERVE"
+                if done < len(text):
+                    pieces.append(text[done:])
+                    gaps += 1
+                made.append(("".join(x or "" for x in pieces), *n, gaps))
+            columns = [pa.array([m[k] for m in made], pa.string() if k == 0 else pa.int64()) for k in range(7)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
+
+    names = ["doc_id", "rendered", "resolved", "auto", "candidates", "unresolved", "kept", "literal"]
+    # What is no unit counts as unresolved, so units of which nothing else is known need not come back.
+    known = units.where("kind <> 'unresolved' or disposition <> 'UNRESOLVED'").select("surface", "protected", "kind", "disposition", "rendered")
+    words = plans.mapInArrow(asked, f"doc_id {kind}, surface string, protected boolean")
+    told = words.join(known, ["surface", "protected"]).groupBy("doc_id").agg(F.collect_list(F.struct(*known.columns)).alias("told"))
+    rest = ", ".join(f"{c} {'string' if c == 'rendered' else 'long'}" for c in names[1:])
+    return plans.join(told, "doc_id", "left").mapInArrow(walked, f"doc_id {kind}, {rest}")
+
+
 def evaluated(docs: DataFrame, spans: DataFrame, units: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, rendered and counts (resolved, auto, candidates, unresolved, kept,
     literal) of texts under a plan of spans(doc_id, start, end, protected), which
     must have no faults. units are resolved_units() of (id = surface, protected);
     a span that is none of them is unresolved; only what is resolved and AUTO is rendered; the gaps are literals."""
-    body = docs.select("doc_id", F.col(text).alias("_t"))
-    own = spans.join(body, "doc_id").withColumn("surface", F.substring("_t", F.col("start") + 1, F.col("end") - F.col("start")))
-    told = units.select(F.col("surface").alias("_u"), F.col("protected").alias("_p"), "kind", "disposition", F.col("rendered").alias("_r"))
-    made = own.join(told, (F.col("surface") == F.col("_u")) & (F.col("protected") == F.col("_p")), "left").withColumn("kind", F.coalesce("kind", F.lit("unresolved")))
-    auto = (F.col("kind") == "resolved") & (F.col("disposition") == "AUTO")
-    out = F.when(auto, F.col("_r")).otherwise(F.col("surface"))
-    counts = [
-        F.count_if(F.col("kind") == "resolved").alias("resolved"), F.count_if(F.col("disposition") == "AUTO").alias("auto"), F.count_if((F.col("kind") == "candidates") | (F.col("disposition") == "CANDIDATES")).alias("candidates"),
-        F.count_if(F.col("kind") == "unresolved").alias("unresolved"), F.count_if((F.col("kind") == "protected") | (F.col("disposition") == "PRESERVE")).alias("kept"),
-    ]
-    per = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", out.alias("out")))).alias("s"), *counts)
-    whole = body.join(per, "doc_id", "left")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"), F.lit(0).alias("gaps"))
-
-    def step(s: Column, x: Column) -> Column:
-        gap = x["start"] > s["at"]
-        parts = F.concat(s["parts"], F.array(F.when(gap, F.substring("_t", s["at"] + 1, x["start"] - s["at"])).otherwise(F.lit("")), x["out"]))
-        return F.struct(x["end"].alias("at"), parts.alias("parts"), (s["gaps"] + gap.cast("int")).alias("gaps"))
-
-    walk = F.aggregate(F.coalesce("s", F.expr("cast(array() as array<struct<start:int,end:int,out:string>>)")), zero, step)
-    whole = whole.withColumn("_w", walk)
-    rest = F.col("_w.at") < F.length("_t")
-    rendered = F.concat(F.array_join("_w.parts", ""), F.when(rest, F.substring("_t", F.col("_w.at") + 1, F.length("_t"))).otherwise(F.lit("")))
-    return whole.select("doc_id", rendered.alias("rendered"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("resolved", "auto", "candidates", "unresolved", "kept")], (F.col("_w.gaps") + rest.cast("int")).cast("long").alias("literal"))
+    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "protected")).alias("spans"))
+    return evaluated_plans(docs.select("doc_id", F.col(text).alias("text")).join(own, "doc_id", "left"), units)
+
+
+def planned(docs: DataFrame, pattern: str, keep: Callable[[int], bool], protect: Callable[[int], bool]) -> DataFrame:
+    """plans for evaluated_plans(): spans are what a pattern finds in the text, of
+    the lengths that keep() takes, protected where protect() says so."""
+    workers.prepare(docs.sparkSession)
+    own = re.compile(pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, starts, ends = [0], [], []
+            for text in batch.column("text").to_pylist():
+                for m in own.finditer(text or ""):
+                    a, b = m.span()
+                    if keep(b - a):
+                        starts.append(a)
+                        ends.append(b)
+                sizes.append(len(starts))
+            spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array([protect(b - a) for a, b in zip(starts, ends)], pa.bool_())], ["start", "end", "protected"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), spans)], ["doc_id", "text", "spans"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, spans {_SPANS}")
 
 
 def domain_decision(asked: DataFrame, rows: DataFrame) -> DataFrame:

@@ -198,3 +198,16 @@ def test_restoration_takes_facts_of_any_number(spark):
     got = {r["surface"]: (r["status"], r["surfaces"], r["readings"]) for r in P.restored(asked, rules, facts).collect()}
     assert got["s7"] == ("resolved", ["s7"], ["r7"]) and got["t"] == ("resolved", ["s1"], ["x"])
     assert got["none"] == ("candidates", ["none", "none"], ["はなじ", "はなぢ"]) and got[None][0] == "unresolved"
+
+
+def test_a_long_text_is_evaluated_in_one_pass(spark):
+    """60,000 spans of one text of 240,000 characters."""
+    n = 60_000
+    docs = spark.createDataFrame([(1, "ab, " * n), (2, None), (3, "ab!")], "doc_id long, text string")
+    unit = spark.createDataFrame([("ab", False, "resolved", "AUTO", "X"), ("ab", True, "protected", "PRESERVE", "ab")], "surface string, protected boolean, kind string, disposition string, rendered string")
+    spans = spark.range(n).selectExpr("1L AS doc_id", "int(4 * id) AS start", "int(4 * id + 2) AS end", "id % 2 = 1 AS protected")
+    got = {r["doc_id"]: r for r in units.evaluated(docs, spans, unit).collect()}
+    assert got[1]["rendered"] == "X, ab, " * (n // 2) and tuple(got[1])[2:] == (n // 2, n // 2, 0, 0, n // 2, n)
+    assert tuple(got[2])[1:] == (None, 0, 0, 0, 0, 0, None) and tuple(got[3])[1:] == ("ab!", 0, 0, 0, 0, 0, 1)
+    plans = units.planned(docs, "[a-z]+", lambda k: k == 2, lambda k: False)
+    assert {r["doc_id"]: r["resolved"] for r in units.evaluated_plans(plans, unit).collect()} == {1: n, 2: 0, 3: 1}
