@@ -20,7 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingle sets at a
-    Jaccard similarity of 0.8 or more. Documents without a word are one group."""
+    Jaccard similarity of 0.8 or more. SimHash links by pivot distance tables come
+    first, each verified on the sets; keys of minhashes add the pairs beyond their
+    radius. Documents without a word are one group."""
     return shingle_dedup.kept_documents(docs)
 
 

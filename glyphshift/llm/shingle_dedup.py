@@ -1,8 +1,10 @@
 """Near duplicates by the Jaccard similarity of five-word shingle sets, links
 followed transitively.
 
-Equal sets are one node. Candidates share one of BANDS keys of ROWS minhashes
-each: a pair at the similarity asked for misses all of them with probability
+Equal sets are one node. Each has the SimHash of its shingles; fingerprints within
+the radius of simhash_dedup are found by its pivot distance tables, and such links
+are verified first. Two sets at the similarity may differ in more bits than that,
+so further candidates share one of BANDS keys of ROWS minhashes each: a pair at the similarity asked for misses all of them with probability
 (1 - 0.8**4)**40, 7e-10, a closer one with less. What the signatures estimate
 only chooses and discards (a pair at 0.8 is below DOUBT with probability under
 1e-15); every link is verified on the sets themselves.
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash_dedup
 
 WORDS, SIMILARITY, BANDS, ROWS, SEED, DOUBT = 5, 0.8, 40, 4, 42, 0.5
 #: Sets that come together in one task; larger groups are verified in cells of two such parts.
@@ -51,6 +53,15 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(found), 65_536):
+        part = np.ascontiguousarray(found[at : at + 65_536])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(found), bitorder="little").view(np.uint64)[0])
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     union = len(a) + len(b) - both
@@ -58,12 +69,12 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, node (hash of the set), size, signature (a byte of each
-    minhash) and band keys of docs(doc_id, text_key, text)."""
+    """doc_id, text_key, node (hash of the set), fp (its SimHash), size, signature (a
+    byte of each minhash) and band keys of docs(doc_id, text_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, signatures, keys = [], [], [], []
+            nodes, fps, sizes, signatures, keys = [], [], [], [], []
             for text in common.binary(batch.column("text")):
                 found = shingles(text)
                 least = common.mix(minhashes(found))
@@ -71,15 +82,16 @@ def prints(docs: DataFrame) -> DataFrame:
                 for column in least.reshape(BANDS, ROWS).T:
                     band = common.joined(band, column)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
+                fps.append(fingerprint(found))
                 sizes.append(len(found))
                 signatures.append((least & np.uint64(255)).astype(np.uint8).tobytes())
                 keys.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "node", "size", "signature", "keys"],
+                [batch.column("doc_id"), batch.column("text_key"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, fps)), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "text_key", "node", "fp", "size", "signature", "keys"],
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node long, size int, signature binary, keys array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_key long, node long, fp long, size int, signature binary, keys array<long>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
@@ -228,6 +240,17 @@ def joining(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return _dealt(cells.join(sets, "node"), "cell").mapInArrow(run, "u long, v long").distinct()
 
 
+def near_by_bits(nodes: DataFrame) -> DataFrame:
+    """(u, v): pairs of nodes(node, fp) that join all whose fingerprints are equal or
+    within the radius, by simhash_dedup's pivot distance tables."""
+    heads = common.written(nodes.groupBy("fp").agg(F.min("node").alias("head")), "shingle-heads")
+    of = lambda c: heads.select(F.col("fp").alias(f"_{c}"), F.col("head").alias(c))
+    near = simhash_dedup.links(heads.select("fp")).select(F.col("u").alias("_u"), F.col("v").alias("_v"))
+    far = near.join(of("u"), "_u").join(of("v"), "_v").select("u", "v")
+    same = nodes.join(heads, "fp").where("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"))
+    return far.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets(node, found) reach the similarity."""
 
@@ -258,16 +281,18 @@ def components(docs: DataFrame) -> DataFrame:
     common.prepare(docs.sparkSession)
     rows = common.written(prints(docs), "shingle-rows")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    same = F.struct("size", "signature", "keys")
+    same = F.struct("fp", "size", "signature", "keys")
     nodes = rows.groupBy("node").agg(F.min(row).alias("least"), F.first(same).alias("same")).select("node", "least", "same.*")
     nodes = common.written(nodes, "shingle-nodes")
     common.dropped(nodes.sparkSession, rows)
     groups = common.written(members(nodes), "shingle-groups")
-    busy = groups.select("node").distinct()
+    bits = common.written(near_by_bits(nodes.select("node", "fp")), "shingle-bits")
+    busy = groups.select("node").unionByName(bits.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
     wanted = nodes.join(busy, "node", "left_semi").select("node", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key"))
     sets = common.written(_sets(docs, wanted), "shingle-sets")
     known = groups.join(nodes.select("node", "size", "signature"), "node")
-    first = common.written(verified(likely(known.withColumn("root", F.col("node"))), sets), "shingle-links")
+    pairs = bits.unionByName(likely(known.withColumn("root", F.col("node")))).distinct()
+    first = common.written(verified(pairs, sets), "shingle-links")
     roots = common.components(first, "shingle-components")
     known = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     cells = common.written(doubtful(known), "shingle-cells")

@@ -555,3 +555,20 @@ def test_near_duplicate_stage_links_edited_copies(spark, docs, none):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
     assert len(least) < simhash_dedup.kept_documents(df).count()
     assert corpus_pipeline.near_duplicate_stage(spark, none, "").count() == 0
+
+
+def test_near_duplicate_stage_links_by_pivot_tables(spark, monkeypatch):
+    """The stage's fingerprints go through op9's tables; the links join all within the radius."""
+    import corpus_pipeline
+    from glyphshift.llm import shingle_dedup
+
+    seen = []
+    links = simhash_dedup.links
+    monkeypatch.setattr(simhash_dedup, "links", lambda nodes, *a: (seen.append(nodes.count()), links(nodes, *a))[1])
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, " ".join(words[::-1]))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()) == [1, 3]
+    assert seen and seen[0] >= 2
+    fps = [(1, 0), (2, 0), (3, 15), (4, -1)]
+    near = shingle_dedup.near_by_bits(spark.createDataFrame(fps, "node long, fp long"))
+    assert {tuple(r) for r in near.collect()} == {(1, 2), (1, 3)}
