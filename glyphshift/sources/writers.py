@@ -38,6 +38,18 @@ def write_sorted(df: DataFrame, path: str, *keys: str) -> None:
     df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
 
 
+def write_repeated(df: DataFrame, path: str, *columns: str, dictionary_mb: int = 64) -> None:
+    """Parquet for rows that hold few distinct, very long strings in `columns`: each
+    string is stored once in a row group, and rows name it. Parquet's own dictionary
+    page of 1 MB doesn't take a longer one, and every row then repeats it. What passes
+    `dictionary_mb` is written out in full, as ever. Those columns get no statistics,
+    which would compare whole strings in each row. The session is left as it is."""
+    w = df.write.option("parquet.dictionary.page.size", dictionary_mb << 20)
+    for c in columns:
+        w = w.option(f"parquet.column.statistics.enabled#{c}", "false")
+    w.parquet(path)
+
+
 def write_profile(rules: DataFrame, path: str, name: str) -> None:
     """One JSON object: the profile's name and its rules(id, enabled, priority) in
     the order of ids. A profile lists rules that people wrote, so it's one row."""

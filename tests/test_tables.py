@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from glyphshift.functions import strings
 from glyphshift.operators import inflection, ir, knowledge, stages, units
 from glyphshift.operators import projection as P
+from glyphshift.sources import writers
 
 
 def plan(*rows):
@@ -211,3 +212,21 @@ def test_a_long_text_is_evaluated_in_one_pass(spark):
     assert tuple(got[2])[1:] == (None, 0, 0, 0, 0, 0, None) and tuple(got[3])[1:] == ("ab!", 0, 0, 0, 0, 0, 1)
     plans = units.planned(docs, "[a-z]+", lambda k: k == 2, lambda k: False)
     assert {r["doc_id"]: r["resolved"] for r in units.evaluated_plans(plans, unit).collect()} == {1: n, 2: 0, 3: 1}
+
+
+def test_long_lists_of_a_form_are_stored_once(spark, tmp_path):
+    """Every record's row has its form's whole list, and the file has the list once."""
+    n, k = 40, 200_000
+    records = spark.range(n).selectExpr("id", "'lexeme' AS scope", "'admitted' AS disposition", "'form' AS responsibility", "IF(id = 7, 'none', 'f') AS surface", "'m' AS modern", "'h' AS historical")
+    lexemes = spark.range(k).selectExpr("'f' AS form", "concat('x', id) AS lexeme")
+    got = knowledge.authority_join(records, lexemes, spark.createDataFrame([("pattern:h>m",)], "id string"), "|").coalesce(1)
+    size = lambda p: sum(f.stat().st_size for f in p.glob("*.parquet"))
+    writers.write_repeated(got, str(tmp_path / "once"), "targets")
+    back = spark.read.parquet(str(tmp_path / "once"))
+    whole = "|".join(sorted(f"x{i}" for i in range(k)))
+    assert {r["id"]: r["targets"] for r in back.collect()} == {i: "" if i == 7 else whole for i in range(n)}
+    assert back.dtypes == got.dtypes
+    assert size(tmp_path / "once") < 2 * len(whole)
+    writers.write_repeated(got, str(tmp_path / "over"), "targets", dictionary_mb=1)
+    assert size(tmp_path / "over") > 10 * size(tmp_path / "once")
+    assert writers.table_digest(spark.read.parquet(str(tmp_path / "over"))).first() == writers.table_digest(back).first()
